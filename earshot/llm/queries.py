@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import repeated_lines, splits, terms, tokens
+from earshot.llm import leaks, repeated_lines, splits, terms, tokens
 from earshot.sources.tables import table
 
 
@@ -39,8 +39,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents", "doc_id", "text"))
 
 
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.passage_pairs(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(_passages(spark, d))
+
+
+def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.reparameterised(_passages(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p3_found, p3_cleaned, p4_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_split, p3_found, p3_cleaned, p4_found, p7_ids, p8_found, p8_reparameterised)}
 
 
 def oracle_sql() -> dict[str, str]:
