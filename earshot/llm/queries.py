@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import leaks, repeated_lines, splits, terms, tokens
+from earshot.llm import leaks, repeated_lines, sentences, splits, terms, tokens
 from earshot.sources.tables import table
 
 
@@ -23,6 +23,10 @@ def p1_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_split(splits.linked_groups(_records(spark, d)))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "call_blocks", "block_id", "sentence_text")).select("block_id", "start_pos", "end_pos")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "term_occ", "company", "call_id", "sentence_id", "sentence_text"))
 
@@ -52,7 +56,7 @@ def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p3_found, p3_cleaned, p4_found, p7_ids, p8_found, p8_reparameterised)}
+    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p7_ids, p8_found, p8_reparameterised)}
 
 
 def oracle_sql() -> dict[str, str]:
