@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import leaks, repeated_lines, sentences, splits, terms, tokens
+from earshot.llm import leaks, repeated_lines, sentences, splits, terms, tokens, turns
 from earshot.sources.tables import table
 
 
@@ -39,6 +39,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequency(table(spark, d, "term_occ", "term", "rec_id", "call_id")).select("term", "n_occ", "n_calls", "mark")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, d, "call_lines", "call_id", "sentence_id", "line_id", "speaker", "sentence_text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents", "doc_id", "text"))
 
@@ -56,7 +60,7 @@ def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p7_ids, p8_found, p8_reparameterised)}
+    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p5_found, p7_ids, p8_found, p8_reparameterised)}
 
 
 def oracle_sql() -> dict[str, str]:
