@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from earshot.llm import leaks, repeated_lines, sentences, splits, terms, tokens, turns
+from earshot.llm import leaks, names, repeated_lines, sentences, splits, terms, tokens, turns
 from earshot.sources.tables import table
 
 
@@ -43,6 +44,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "call_lines", "call_id", "sentence_id", "line_id", "speaker", "sentence_text"))
 
 
+def _organisations(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "term_occ", "company").select(F.col("company").alias("name")).union(table(spark, d, "bankrupt_all", "conm"))
+    return names.organisations(typed)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.spelling_pairs(_organisations(spark, d))
+
+
+def p6_organisations(spark: SparkSession, d: str) -> DataFrame:
+    return _organisations(spark, d).groupBy("org").agg(F.count("*").alias("n_spellings"), F.min("name").alias("name"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents", "doc_id", "text"))
 
@@ -60,7 +74,7 @@ def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p5_found, p7_ids, p8_found, p8_reparameterised)}
+    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p5_found, p6_found, p6_organisations, p7_ids, p8_found, p8_reparameterised)}
 
 
 def oracle_sql() -> dict[str, str]:
