@@ -36,7 +36,7 @@ _TIME = re.compile(r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?")
 _GROUPED = re.compile(r"(?<=\d)[,.](?=\d{3}(?!\d))")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[0-9a-z]+")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _UNIT = re.compile(r"[\n\r]+|(?<=[.?!])\s+|:\s+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 NUMBER, NAME, UNIT = 1, 2, 3

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import leaks, names, repeated_lines, sentences, splits, terms, tokens, turns
+from earshot.llm import leaks, names, repeated_lines, sentences, splits, terms, tokens, toxicity, turns
 from earshot.sources.tables import table
 
 
@@ -73,8 +73,20 @@ def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     return leaks.reparameterised(_passages(spark, d))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "content_labels", "doc_id", "unfit"), keep=["source"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("unfit").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(_scored(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p5_found, p6_found, p6_organisations, p7_ids, p8_found, p8_reparameterised)}
+    return {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p3_cleaned, p4_found, p5_found, p6_found, p6_organisations, p7_ids, p8_found, p8_reparameterised, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

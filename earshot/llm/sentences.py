@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Candidate cuts that one sentence may span at most; beyond it the model must cut.
 MAX_CUTS = 200
-_BLANK_LINE = re.compile(r"(?:\r\n?|\n| )[^\S\r\n]*(?:\r\n?|\n| )| ")
+_BLANK_LINE = re.compile(r"(?:\r\n?|\n|\u2028)[^\S\r\n]*(?:\r\n?|\n|\u2028)|\u2029")
 _MARKS = re.compile(r"[.!?。！？．｡…‥।॥؟۔;;։።။]+")
 _CLOSERS = "\"'”’“»›」』)]）】］}"
 _OPENERS = "\"'“‘„«‹「『([（【{¿¡"
@@ -162,7 +162,7 @@ def _candidates(text: str, begin: int, end: int) -> list[tuple[int, int, float]]
         while at < end and text[at] in _CLOSERS:
             at += 1
             cuts.append(at)
-        if at == m.end() and at + 1 < end and text[at] in "   " and text[at + 1] == "»":
+        if at == m.end() and at + 1 < end and text[at] in " \u00a0\u202f" and text[at + 1] == "»":
             cuts.append(at + 2)
         for cut in dict.fromkeys([cuts[0], cuts[-1], *cuts]):
             nxt = cut
@@ -172,7 +172,7 @@ def _candidates(text: str, begin: int, end: int) -> list[tuple[int, int, float]]
                 continue
             if (score := _closing(text, begin, m.start(), m.end(), cut, nxt) + _opening(text, nxt)) > -3:
                 out.append((cut, nxt, score))
-    for m in re.finditer(r"(?<=[฀-๿])\s+(?=\S)", text[begin:end]):
+    for m in re.finditer(r"(?<=[\u0e00-\u0e7f])\s+(?=\S)", text[begin:end]):
         cut, nxt = begin + m.start(), begin + m.end()
         if text[nxt].isdigit() and not re.match(r"[\d.,]+\s*[A-Za-z]", text[nxt:end]):
             continue
