@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample, taken by the hash of the identifier.
-MAX_LABELLED, MAX_UNLABELLED = 8000, 2500
+MAX_LABELLED, MAX_UNLABELLED = 8000, 2000
 #: Buckets of the feature hash.
 BUCKETS = 1 << 18
 #: Class prior: unfit sentences among all, as so many for each document found unfit.
@@ -214,20 +214,36 @@ class Sentences:
     """Features of the sentences of a training sample, by rows."""
 
     def __init__(self, texts: list[str]):
-        bucket, owner, self.doc, self.size = features(texts)
+        buckets, owners, docs, fulls = [], [], [], []
+        often = np.zeros(BUCKETS, np.int32)
+        at, first = 0, 0
+        while at < len(texts):
+            # by chunks of a million characters: the working memory stays small
+            stop, n = at, 0
+            while stop < len(texts) and (stop == at or n + len(texts[stop]) <= 1_000_000):
+                n += len(texts[stop])
+                stop += 1
+            bucket, owner, doc, size = features(texts[at:stop])
+            often += np.bincount(np.unique(doc[owner] * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+            order = np.argsort(owner, kind="stable")
+            buckets.append(bucket[order].astype(np.int32))
+            owners.append((owner[order] + first).astype(np.int32))
+            docs.append((doc + at).astype(np.int32))
+            fulls.append(size)
+            first += len(size)
+            at = stop
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        bucket, owner, self.doc, self.full = join(buckets, np.int32), join(owners, np.int32), join(docs, np.int32), join(fulls, np.int64)
+        del buckets, owners
         # features of a single document teach nothing: those of two or more get a compact number
-        pairs = np.unique(self.doc[owner].astype(np.int64) * BUCKETS + bucket)
-        often = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= 2
-        self.buckets = np.flatnonzero(often)
-        number = np.cumsum(often) - 1
-        self.full = self.size
-        use = often[bucket]
-        order = np.argsort(owner[use], kind="stable")
-        self.bucket = number[bucket[use]][order]
-        self.size = np.bincount(owner[use], minlength=len(self.full))
+        kept = often >= 2
+        self.buckets = np.flatnonzero(kept)
+        number = (np.cumsum(kept) - 1).astype(np.int32)
+        use = kept[bucket]
+        self.bucket, self.owner = number[bucket[use]], owner[use]
+        self.size = np.bincount(self.owner, minlength=len(self.full))
         self.start = np.r_[0, np.cumsum(self.size)[:-1]] if len(self.size) else np.zeros(0, np.int64)
         self.scale = 1 / np.sqrt(np.maximum(self.full, 4))
-        self.owner = np.repeat(np.arange(len(self.size)), self.size)
         self.n = len(texts)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,9 +268,12 @@ def _contrast(rows: Sentences, positive: np.ndarray, rest: np.ndarray) -> np.nda
     """Weight of each feature that sets the positive documents apart: log ratio of document frequencies where it is sure."""
     k = len(rows.buckets)
     seen = np.unique(rows.doc[rows.owner].astype(np.int64) * k + rows.bucket)
-    d, f = seen // k, seen % k
-    a = (np.bincount(f[np.isin(d, positive)], minlength=k) + 0.5) / (len(positive) + 1)
-    b = (np.bincount(f[np.isin(d, rest)], minlength=k) + 0.5) / (len(rest) + 1)
+    chosen = np.zeros(rows.n, bool)
+    chosen[positive] = True
+    ours = chosen[seen // k]
+    seen %= k
+    a = (np.bincount(seen[ours], minlength=k) + 0.5) / (len(positive) + 1)
+    b = (np.bincount(seen[~ours], minlength=k) + 0.5) / (len(rest) + 1)
     z = (a - b) / np.sqrt(a / (len(positive) + 1) + b / (len(rest) + 1))
     return np.where((z > 2) & (a > 3 * b), np.log(a / b), 0.0)
 
