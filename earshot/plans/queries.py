@@ -1,11 +1,19 @@
-"""Queries of the engine's own operators over the driver's tables."""
+"""All queries of the engine's own operators, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from earshot.plans import text_queries
 
-def oracle_sql() -> dict:
-    return {}
+MODULES = [text_queries]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in MODULES for k, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.O.items()}
