@@ -196,14 +196,15 @@ def lexicon_membership(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.membership(terms(spark, d).select("term").distinct(), lexicon.unpivot_flags(_wide(spark, d), _BUCKETS, "lm_", "lm_general"))
 
 
-@query(r"SELECT doc_id, coalesce(try_strptime(nullif(regexp_extract(file_date::VARCHAR, '(\d{4}-\d{2}-\d{2})', 1), ''), '%Y-%m-%d')::DATE) AS parsed, CASE WHEN contains(coalesce(text, ''), 'Earnings Call') THEN nullif(regexp_extract(text, '\b(Q[1-4]\s+\d{4})\b', 1), '') END AS quarter FROM documents WHERE file_date IS NOT NULL")
+@query(r"SELECT doc_id, coalesce(try_strptime(nullif(regexp_extract(file_date::VARCHAR, '(\d{4}-\d{2}-\d{2})', 1), ''), '%Y-%m-%d')::DATE)::VARCHAR AS parsed, CASE WHEN contains(coalesce(text, ''), 'Earnings Call') THEN nullif(regexp_extract(text, '\b(Q[1-4]\s+\d{4})\b', 1), '') END AS quarter FROM documents WHERE file_date IS NOT NULL")
 def document_dates(spark: SparkSession, d: str) -> DataFrame:
     q = F.when(F.contains(F.coalesce("text", F.lit("")), F.lit("Earnings Call")), F.nullif(F.regexp_extract("text", r"\b(Q[1-4]\s+\d{4})\b", 1), F.lit("")))
-    return table(spark, d, "documents", "doc_id", "text", "file_date").where("file_date is not null").select("doc_id", T.parse_date(F.col("file_date").cast("string")).alias("parsed"), q.alias("quarter"))
+    return table(spark, d, "documents", "doc_id", "text", "file_date").where("file_date is not null").select("doc_id", T.parse_date(F.col("file_date").cast("string")).cast("string").alias("parsed"), q.alias("quarter"))
 
 
-@query(SQL + ", k AS (SELECT DISTINCT company || '_' || strftime(file_date, '%Y-%m-%d') || '_' || quarter_label AS doc_id FROM occ WHERE company IS NOT NULL) SELECT doc_id, regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 1) AS company, trim(split_part(split_part(doc_id, '_', 1), ',', 1)) AS company_id, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 2), '') AS DATE) AS file_date, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 3), '') AS INT) AS quarter, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 4), '') AS INT) AS fiscal_year FROM k WHERE doc_id IS NOT NULL".replace("\\\\", "\\"))
+@query(SQL + ", k AS (SELECT DISTINCT company || '_' || strftime(file_date, '%Y-%m-%d') || '_' || quarter_label AS doc_id FROM occ WHERE company IS NOT NULL) SELECT doc_id, regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 1) AS company, trim(split_part(split_part(doc_id, '_', 1), ',', 1)) AS company_id, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 2), '') AS DATE)::VARCHAR AS file_date, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 3), '') AS INT) AS quarter, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 4), '') AS INT) AS fiscal_year FROM k WHERE doc_id IS NOT NULL".replace("\\\\", "\\"))
 def document_id_parts(spark: SparkSession, d: str) -> DataFrame:
     o = occurrences(spark, d).where("company is not null")
-    doc = o.select(F.concat_ws("_", "company", F.date_format("file_date", "yyyy-MM-dd"), "quarter_label").alias("doc_id")).where("doc_id is not null and quarter is null" if False else "doc_id is not null").distinct()
-    return doc.select("doc_id", *[c.alias(n) for n, c in T.document_parts(F.col("doc_id")).items()])
+    doc = o.select(F.concat("company", F.lit("_"), F.date_format("file_date", "yyyy-MM-dd"), F.lit("_"), "quarter_label").alias("doc_id")).where("doc_id is not null").distinct()
+    parts = T.document_parts(F.col("doc_id"))
+    return doc.select("doc_id", *[c.cast("string" if n == "file_date" else c_type).alias(n) for n, c, c_type in ((n, c, "int" if n in ("quarter", "fiscal_year") else "string") for n, c in parts.items())])
