@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.plans import cube_queries, text_queries
+from earshot.plans import cube_queries, model_queries, text_queries
 
-MODULES = [text_queries, cube_queries]
+MODULES = [text_queries, cube_queries, model_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
