@@ -66,7 +66,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> dict[str, Column]:
     denominator = 1 + F.try_divide(F.lit(z * z), n)
     centre = (p + F.try_divide(F.lit(z * z), 2 * n)) / denominator
     half = z / denominator * F.sqrt(F.try_divide(p * (1 - p) + F.try_divide(F.lit(z * z), 4 * n), n))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    zero = lambda c: F.when(n > 0, c).otherwise(0.0)
     return {"centre": zero(centre), "low": zero(F.greatest(centre - half, F.lit(0.0))), "high": zero(F.least(centre + half, F.lit(1.0)))}
 
 
