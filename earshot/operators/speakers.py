@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -49,39 +52,67 @@ def degenerate_fix(role: Column, index: Column, n_roles: Column, n_rows: Column,
     return F.when((n_roles == 1) & (n_rows >= 10) & (F.pmod(index, F.lit(7)) == 0), turn).otherwise(role)
 
 
-def _rebalanced(roles: list[str], scores: pd.DataFrame, priors: dict[str, float]) -> list[str]:
-    """Greedy: a role over its quota gives its weakest sentences to the roles under theirs, best score first."""
+def _rebalanced(roles: list[str], scores: np.ndarray, names: list[str], priors: dict[str, float]) -> list[str]:
+    """Greedy: a role over its quota gives its weakest sentences to the roles under theirs, best gain first."""
     n = len(roles)
     quota = {r: max(1, round(p * n)) for r, p in priors.items()}
-    out = list(roles)
+    column = {r: k for k, r in enumerate(names)}
+    out, held = list(roles), Counter(roles)
     for short in sorted(quota):
-        need = quota[short] - out.count(short)
+        need = quota[short] - held[short]
         if need <= 0:
             continue
-        spare = [i for i, r in enumerate(out) if r in quota and out.count(r) > quota[r]]
-        spare.sort(key=lambda i: (-(scores[short].iloc[i] - scores[out[i]].iloc[i]), i))
-        for i in spare[:need]:
-            if out.count(out[i]) > quota[out[i]] and scores[short].iloc[i] > 0:
+        gain = [(scores[i, column[r]] - scores[i, column[short]], i) for i, r in enumerate(out) if held[r] > quota[r] and scores[i, column[short]] > 0]
+        for _, i in sorted(gain):
+            if need and held[out[i]] > quota[out[i]]:
+                held[out[i]] -= 1
+                held[short] += 1
                 out[i] = short
+                need -= 1
     return out
 
 
 def rebalance(rows: DataFrame, call: str, order: str, role: str, text: str, priors: dict[str, float] | None = None) -> DataFrame:
     """``call, order, role`` with each call's roles moved towards the shares of ``priors``.
 
-    The reassignment is greedy and sequential within a call, so it runs in
-    pandas, one call (a document of bounded length) at a time.
+    The scores are columns; the reassignment is greedy and sequential within a
+    call, so sorted partitions are worked through call by call.
     """
     priors = priors or fixed.ROLE_PRIORS
-    scored = rows.select(call, order, role, *[s.alias(f"s_{r}") for r, s in role_scores(F.col(text)).items()])
+    names = list(priors)
+    score = role_scores(F.col(text))
+    scored = rows.select(F.col(call).alias(call), F.col(order).alias(order), F.col(role).alias(role), *[score[r].alias(f"s_{r}") for r in names])
     schema = f"{call} {rows.schema[call].dataType.simpleString()}, {order} {rows.schema[order].dataType.simpleString()}, {role} string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        scores = pdf.rename(columns={f"s_{r}": r for r in priors})
-        return pd.DataFrame({call: pdf[call], order: pdf[order], role: _rebalanced([r if r in priors else "IR" for r in pdf[role]], scores, priors)})
-
-    return scored.groupBy(call).applyInPandas(run, schema)
+    def done(batch: pa.Table) -> pa.RecordBatch:
+        keys = batch.column(0).to_pylist()
+        given = [r if r in priors else "IR" for r in batch.column(2).to_pylist()]
+        scores = np.column_stack([batch.column(3 + k).to_numpy() for k in range(len(names))]) if keys else np.zeros((0, len(names)))
+        out, at = [], 0
+        for k in range(1, len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[at]:
+                out += _rebalanced(given[at:k], scores[at:k], names, priors)
+                at = k
+        return pa.RecordBatch.from_arrays([batch.column(0).combine_chunks(), batch.column(1).combine_chunks(), pa.array(out, pa.string())], [call, order, role])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = held.column(0)
+            last = keys[held.num_rows - 1]
+            # the last call of a batch may go on in the next
+            cut = held.num_rows
+            while cut and keys[cut - 1] == last:
+                cut -= 1
+            if cut:
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return scored.where(F.col(call).isNotNull()).repartition(call).sortWithinPartitions(call, order).mapInArrow(run, schema)
 
 
 def match_names(rows: DataFrame, name: str, roster: str, least: float = 0.75) -> DataFrame:
@@ -106,7 +137,7 @@ def match_names(rows: DataFrame, name: str, roster: str, least: float = 0.75) ->
 
 def participants(text: Column) -> Column:
     """Names and titles of a participants block as a map (X14): lines "Name - Title" or "Name, Title"."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda p: p.rlike(r"^\s*[A-Z][\p{L}.' -]+(?:\s[-–—]\s|,\s).*(?i:officer|president|director|relations|analyst|head|chair)"))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda p: (F.length(p) <= 120) & p.rlike(r"^\s*[A-Z][\p{L}.'-]+(?:\s[A-Z][\p{L}.'-]*){1,3}(?:\s[-–—]\s|,\s).*(?i:officer|president|director|relations|analyst|head|chair)"))
     pairs = F.transform(lines, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^\s*(.*?)(?:\s[-–—]\s|,\s)", 1)).alias("n"), F.trim(F.regexp_extract(p, r"(?:\s[-–—]\s|,\s)(.*)$", 1)).alias("t")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["n"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(pairs, lambda p: p["n"] == n), F.lit(0))["t"]))

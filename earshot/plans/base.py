@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions import fixed
@@ -22,7 +22,9 @@ def number(c: str) -> Column:
 def occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Term occurrences, each record once (the latest delivery), canonical role, z label, NaN as null."""
     t = table(spark, d, "term_occ")
-    once = t.where("rec_id is not null").groupBy("rec_id").agg(F.max_by(F.struct(*[c for c in t.columns if c != "rec_id"]), F.struct("loaded_at", "sentence_id", "term")).alias("r")).select("rec_id", "r.*")
+    # a rank of one row per record: columns that a query doesn't need are still pruned from the scan
+    latest = F.row_number().over(Window.partitionBy("rec_id").orderBy(F.desc("loaded_at"), F.desc("sentence_id"), F.desc_nulls_last("term")))
+    once = t.where("rec_id is not null").withColumn("__r", latest).where("__r = 1").drop("__r")
     role = canonical_role(F.replace(F.col("speaker"), F.lit("."), F.lit("")))
     numbers = {c: number(c) for c in TONES}
     return once.withColumns({**numbers, "role": F.when(role != "", role).otherwise("Unknown"), "z_label": type_number(F.col("source_type"))})
@@ -31,8 +33,9 @@ def occurrences(spark: SparkSession, d: str) -> DataFrame:
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """One row a sentence: company, call, position, role, z, text and the four probabilities (null counts 0)."""
     o = occurrences(spark, d).where("company is not null")
-    cols = ["company", "file_date", "role", "z_label", "sentence_text", *[f"prob_{r}" for r in RISKS], "llm_pred_prob"]
-    one = o.groupBy("call_id", "sentence_id").agg(F.min_by(F.struct(*cols), "rec_id").alias("r")).select("call_id", "sentence_id", "r.*")
+    cols = ["call_id", "sentence_id", "company", "file_date", "role", "z_label", "sentence_text", *[f"prob_{r}" for r in RISKS], "llm_pred_prob"]
+    first = F.row_number().over(Window.partitionBy("call_id", "sentence_id").orderBy("rec_id"))
+    one = o.withColumn("__r", first).where("__r = 1").select(*cols)
     return one.fillna(0.0, [f"prob_{r}" for r in RISKS])
 
 
@@ -51,7 +54,7 @@ WITH occ AS (
   SELECT * REPLACE ({_CLEAN}), coalesce(CASE {_ALIASES} END, 'Unknown') AS role,
     try_cast(nullif(regexp_extract(source_type, 'Type_([123])', 1), '') AS INT) AS z_label
   FROM (SELECT *, regexp_replace(trim(lower(regexp_replace(replace(coalesce(speaker, ''), '.', ''), '[^A-Za-z\s]', ' ', 'g'))), '\s+', ' ', 'g') AS x FROM term_occ
-        WHERE rec_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC, sentence_id DESC, term DESC) = 1)),
+        WHERE rec_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC, sentence_id DESC, term DESC NULLS LAST) = 1)),
 sent AS (
   SELECT call_id, sentence_id, company, file_date, role, z_label, sentence_text, {", ".join(f"coalesce(prob_{r}, 0) AS prob_{r}" for r in RISKS)}, llm_pred_prob
   FROM occ WHERE company IS NOT NULL QUALIFY row_number() OVER (PARTITION BY call_id, sentence_id ORDER BY rec_id) = 1),

@@ -9,6 +9,7 @@ from earshot.functions import fixed
 from earshot.operators import entities, importance, lexicon, terms as mining, tone
 from earshot.plans.base import RISKS, SQL, TONES, occurrences, sql_list, terms
 from earshot.plans.model_queries import PM, UNITS, probs, units
+from earshot.session import cut
 from earshot.sources.tables import table
 
 Q, O = {}, {}
@@ -98,7 +99,7 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    w = _windows(spark, d)
+    w = cut(_windows(spark, d))  # small, and read twice
     return tone.scores(tone.shifts(w, TONES, RISKS), w)
 
 
@@ -107,9 +108,9 @@ def company_stage(spark: SparkSession, d: str) -> DataFrame:
     return tone.company_stages(terms(spark, d)).select("company", F.col("file_date").cast("string").alias("file_date"), "time_index", "stage")
 
 
-@query(SQL + _WINDOW + " SELECT company, term, role, stage, n_sentences, " + ", ".join(f"round({m}, 7) AS {m}" for m in TONES) + " FROM win")
+@query(SQL + _WINDOW + " SELECT company, term, role, stage, n_sentences, " + ", ".join(f"round({m} + 1e-10, 7) AS {m}" for m in TONES) + " FROM win")
 def tone_window(spark: SparkSession, d: str) -> DataFrame:
-    return _windows(spark, d).select("company", "term", "role", "stage", "n_sentences", *[F.round(m, 7).alias(m) for m in TONES])
+    return _windows(spark, d).select("company", "term", "role", "stage", "n_sentences", *[F.round(F.col(m) + 1e-10, 7).alias(m) for m in TONES])  # means of short decimals: off the tie
 
 
 @query(SQL + _SHIFT + " SELECT company, term, role, round(d, 6) AS d, early_n, late_n, cause_early, cause_late FROM sh")

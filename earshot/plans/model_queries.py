@@ -9,6 +9,7 @@ from earshot.functions import fixed
 from earshot.operators import attribution, cubes, metrics, models
 from earshot.plans.base import RISKS, SQL, sentences
 from earshot.plans.cube_queries import FIJZ, SHARE, fijz, share, wide
+from earshot.session import cut
 from earshot.sources.tables import table
 
 Q, O = {}, {}
@@ -156,7 +157,7 @@ def _training(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 @query()
 def tree_ensemble(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = _training(spark, d)
-    rows = rows.cache()
+    rows = cut(rows)
     a, b = models.forest(rows, "label"), models.boosted(rows, "label")
     first = a.transform(rows).select("company", (F.col("prediction") + 1).cast("int").alias("forest"))
     second = b.transform(rows).select("company", (F.col("prediction") + 1).cast("int").alias("boosted"))
@@ -170,8 +171,8 @@ def surrogate_logit(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- attribution: coefficients stand in for a fitted surrogate
-def _beta(spark: SparkSession, d: str) -> DataFrame:
-    return fijz(spark, d).where("z_label is not null").select("role", "risk_bucket", "z_label", (F.col("f_ijz") / 10 + F.col("z_label") / 100).alias("coef"))
+def _beta(f: DataFrame) -> DataFrame:
+    return f.where("z_label is not null").select("role", "risk_bucket", "z_label", (F.col("f_ijz") / 10 + F.col("z_label") / 100).alias("coef"))
 
 
 def _gamma(spark: SparkSession) -> DataFrame:
@@ -179,8 +180,8 @@ def _gamma(spark: SparkSession) -> DataFrame:
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    f = fijz(spark, d)
-    return attribution.unit_logits(f, _beta(spark, d), _gamma(spark))
+    f = cut(fijz(spark, d))  # roles x causes x types, read several times
+    return attribution.unit_logits(f, _beta(f), _gamma(spark))
 
 
 UNITS = FIJZ + """, beta AS (SELECT role, risk_bucket, z_label, f_ijz / 10 + z_label / 100 AS coef FROM fijz),
