@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.plans import cube_queries, history_queries, model_queries, stream_queries, text_queries
+from earshot.plans import cube_queries, extra_queries, history_queries, model_queries, stream_queries, text_queries
 
-MODULES = [text_queries, cube_queries, model_queries, history_queries, stream_queries]
+MODULES = [text_queries, cube_queries, model_queries, history_queries, extra_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
