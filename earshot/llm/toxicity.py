@@ -35,7 +35,7 @@ BUCKETS = 1 << 18
 #: Class prior: unfit sentences among all, as so many for each document found unfit.
 PER_DOCUMENT = 1.1
 #: Sum of log ratios beyond which a sentence surely is the one that the verdict meant.
-SURE = 9.0
+SURE = 6.0
 #: Fewer confirmed documents than this can't be learned from.
 LEAST_POSITIVE = 4
 #: Characters worked on at once; bounds the memory of a task.
