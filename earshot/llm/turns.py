@@ -316,8 +316,8 @@ def labelled_lines(lines: DataFrame, call: str, position: str, line: str, speake
     named = parsed.where("label is not null").groupBy("call", "label").agg(F.lit(False).alias("inside"), F.count("*").alias("n"))
     inside = parsed.where("in_text is not null").groupBy("call", F.col("in_text").alias("label")).agg(F.lit(True).alias("inside"), F.count("*").alias("n"))
     speakers = named.union(inside).repartition("call").sortWithinPartitions("call", "inside", "label").mapInArrow(_resolve, "call bigint, label string, speaker string")
-    out = salted_lookup(parsed, speakers.select("call", "label", F.col("speaker").alias("s1")), ["call", "label"], "left")
-    out = salted_lookup(out, speakers.select("call", F.col("label").alias("in_text"), F.col("speaker").alias("s2")), ["call", "in_text"], "left")
+    out = salted_lookup(parsed, speakers.select("call", "label", F.col("speaker").alias("s1")), ["call", "label"], "left", salts=4)
+    out = salted_lookup(out, speakers.select("call", F.col("label").alias("in_text"), F.col("speaker").alias("s2")), ["call", "in_text"], "left", salts=4)
     words = F.when(F.col("s2").isNotNull(), F.col("n_rest")).otherwise(F.col("n_all"))
     out = out.select("call", "pos", "line", F.floor(F.col("pos") / BLOCK).alias("block"), F.coalesce("s2", "s1").alias("speaker"), F.col("s2").isNotNull().alias("in_text"), words.alias("words"), "asks")
     return out.where("words > 0")
