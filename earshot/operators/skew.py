@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join ``rows`` with ``lookup`` (at most one row per key), however the keys of ``rows`` are spread.
 
-    Every lookup row is repeated ``salts`` times and every left row draws one
+    Every lookup row is repeated ``salts`` times and every left row gets one
     salt, so a key with a third of all rows is worked on by ``salts`` tasks.
     Each left row meets one copy only: the result is that of the plain join.
-    Null keys match nothing.
+    The salt is a hash of the row itself: a task that is run again after a lost
+    executor sends each row where the first run sent it. Null keys match nothing.
     """
     salt = "__salt"
-    left = rows.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    own = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in own]), F.lit(salts)).cast("int"))
     right = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, salt], how).drop(salt)
 
