@@ -326,6 +326,9 @@ def learn(texts: list[str], verdicts: np.ndarray, prior: float | None = None) ->
     picks, strength = rows.worst(guess, positive)
     chosen = picks[strength > SURE]
     if len(chosen) < LEAST_POSITIVE:
+        # too few verdicts to be sure of any: the clearer half of what there is
+        chosen = picks[(strength > 0) & (strength >= np.median(strength))]
+    if not len(chosen):
         return None
     w, b = fit(rows, chosen, everything, prior)
     model = Model()
