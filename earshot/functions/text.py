@@ -34,11 +34,13 @@ def drop_headers(text: Column, pattern: str = fixed.HEADER_PATTERN) -> Column:
     clean = F.regexp_replace(F.regexp_replace(text, r"\r\n|\r", "\n"), r"(?i)\(operator instructions\)", " ")
 
     def keep(p: Column) -> Column:
-        low = F.lower(F.trim(p))
-        shout = (F.length(F.regexp_replace(p, r"^\s+|\s+$", "")) <= 60) & (F.upper(p) == p) & (F.lower(p) != p)
-        return (low == "") | ~(low.rlike(pattern) | low.rlike(r"^\d{2}:\d{2}:\d{2}$") | shout)
+        low = F.lower(F.regexp_replace(p, r"^\p{Z}+|\p{Z}+$", ""))
+        # (?U): white space, words and digits of every script
+        short = F.length(F.regexp_replace(p, r"(?U)^\s+|\s+$", "")) <= 60
+        shout = short & p.rlike(r"\p{IsUppercase}") & ~p.rlike(r"[\p{IsLowercase}\p{Lt}]")
+        return (low == "") | ~(low.rlike("(?U)" + pattern) | low.rlike(r"(?U)^\d{2}:\d{2}:\d{2}$") | shout)
 
-    return F.array_join(F.filter(F.split(clean, r"\n\s*\n"), keep), "\n\n")
+    return F.array_join(F.filter(F.split(clean, r"(?U)\n\s*\n"), keep), "\n\n")
 
 
 def sentence_spans(text: Column) -> Column:

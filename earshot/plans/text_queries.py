@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import fixed
@@ -57,7 +57,14 @@ def english_tokens(spark: SparkSession, d: str) -> DataFrame:
     OR (length(regexp_replace(p, '^\s+|\s+$', '', 'g')) <= 60 AND upper(p) = p AND lower(p) <> p))), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7f]*')""")
 def header_paragraph_filter(spark: SparkSession, d: str) -> DataFrame:
     ascii_only = F.col("text").rlike(r"^[\x00-\x7f]*$")  # letter case of other scripts differs between the engines
-    return table(spark, d, "documents", "doc_id", "text").where(ascii_only).select("doc_id", T.drop_headers(F.col("text")).alias("text"))
+    return header_paragraph_filter_all(spark, d, ascii_only)
+
+
+@query()
+def header_paragraph_filter_all(spark: SparkSession, d: str, which: Column | None = None) -> DataFrame:
+    """Every text of every script; ``header_paragraph_filter`` is the part that its SQL can express."""
+    which = F.col("text").isNotNull() if which is None else which
+    return table(spark, d, "documents", "doc_id", "text").where(which).select("doc_id", T.drop_headers(F.col("text")).alias("text"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import roles
 from earshot.functions import text as T
+from earshot.plans import text_queries
 
 
 def one(spark, value, f):
@@ -70,3 +71,15 @@ def test_dates_and_parts(spark):
 def test_top_labels(spark):
     row = spark.createDataFrame([(0.2, 0.5, 0.2)], "a double, b double, c double").select(T.top_labels({"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, 2).alias("t"), T.first_max({"a": F.col("a"), "c": F.col("c")}).alias("m")).first()
     assert row.t == "b:0.500; a:0.200" and row.m == "a"
+
+
+def test_headers_of_every_script(spark):
+    text = "ÉTATS FINANCIERS\n \nOur café “grew”.\n\nQ & A\n\nSTRAßE\n\n 00:12:30\n\n業績は好調。\n\nNº 5"
+    assert one(spark, text, T.drop_headers) == "Our café “grew”.\n\nSTRAßE\n\n業績は好調。\n\nNº 5"
+
+
+def test_header_query_has_every_text(spark, tmp_path):
+    texts = ["PARTICIPANTS\n\nWe grew.", "PARTICIPANTS\n\nIt’s café time.", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in text_queries.header_paragraph_filter_all(spark, str(tmp_path)).collect()}
+    assert got == {0: "We grew.", 1: "It’s café time.", 2: ""}
