@@ -63,18 +63,35 @@ def _sized(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
 
 
+#: Signs of a word in any script.
+WORD = r"\p{L}\p{M}\p{N}_"
+#: How terms with other signs are cut: into Latin runs; without any, into other runs; without any word, into signs.
+CUTS = {"latin": "[a-z]+", "script": rf"[{WORD}&&[^a-z]]+", "sign": rf"[^{WORD}\s]"}
+
+
+def _whole(term: Column) -> Column:
+    """Pattern of the term as it stands, not inside a longer word."""
+    left = F.when(term.rlike("^[a-z]"), "(^|[^a-z])").when(term.rlike(f"^[{WORD}]"), f"(?<![{WORD}])").otherwise("")
+    right = F.when(term.rlike("[a-z]$"), "([^a-z]|$)").when(term.rlike(f"[{WORD}]$"), f"(?![{WORD}])").otherwise("")
+    return F.concat(left, F.regexp_replace(term, r"([^a-z0-9 ])", r"\\$1"), right)
+
+
 def term_occurrences(rows: DataFrame, grams: DataFrame, others: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, term``: sentences that hold each term, once a sentence.
 
-    Terms of up to three plain words are looked up among the n-grams of the
+    Terms of plain words, however many, are looked up among the n-grams of the
     sentence; terms with other signs are cut at those signs and looked up by
-    their first word before the whole is tested, so no pair of sentence and
-    term is formed without a shared word.
+    all their runs in a row before the whole is tested, so no pair of sentence
+    and term is formed without the words of the term.
     """
     tokens = rows.select(*keys, F.lower(text).alias("low"), letter_tokens(F.col(text)).alias("t"))
-    every = F.array_distinct(F.concat(*[ngrams(F.col("t"), n) for n in (1, 2, 3)]))
+    words = sorted(r.n for r in grams.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()) or [1]
+    every = F.array_distinct(F.concat(*[ngrams(F.col("t"), n) for n in words]))
     plain = tokens.select(*keys, F.explode(every).alias("term")).join(_sized(grams), "term", "left_semi").select(*keys, "term")
-    first = others.select(F.col("term"), F.regexp_extract("term", "[a-z]+", 0).alias("w"))
-    held = tokens.select(*keys, "low", F.explode(F.array_distinct("t")).alias("w")).join(_sized(first), "w")
-    whole = F.regexp_like("low", F.concat(F.lit("(^|[^a-z])"), F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1"), F.lit("([^a-z]|$)")))
-    return plain.unionByName(held.where(whole).select(*keys, "term"))
+    kind = F.when(F.regexp_like("term", F.lit(CUTS["latin"])), "latin").when(F.regexp_like("term", F.lit(CUTS["script"])), "script").otherwise("sign")
+    runs = F.coalesce(*[F.when(kind == k, F.regexp_extract_all("term", F.lit(p), F.lit(0))) for k, p in CUTS.items()])
+    cut = others.select("term", kind.alias("kind"), F.size(runs).alias("n"), F.concat_ws(" ", runs).alias("w"), _whole(F.col("term")).alias("whole"))
+    sizes = sorted((r.kind, r.n) for r in cut.select("kind", "n").distinct().collect())
+    pieces = [ngrams(F.regexp_extract_all("low", F.lit(CUTS[k]), F.lit(0)), n) for k, n in sizes] or [F.array().cast("array<string>")]
+    held = tokens.select(*keys, "low", F.explode(F.array_distinct(F.concat(*pieces))).alias("w")).join(_sized(cut.select("w", "term", "whole")), "w")
+    return plain.unionByName(held.where(F.regexp_like("low", F.col("whole"))).select(*keys, "term"))

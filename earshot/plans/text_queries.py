@@ -198,6 +198,14 @@ def term_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("call_id").alias("n_calls"))
 
 
+@query()
+def term_occurrences_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of any signs and length; ``term_occurrences`` is the part that its SQL looks for."""
+    t, plain = terms(spark, d).select("term").distinct(), F.col("term").rlike("^[a-z]+( [a-z]+)*$")
+    found = match.term_occurrences(sentences(spark, d), t.where(plain), t.where(~plain), ["call_id", "sentence_id"], "sentence_text")
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("call_id").alias("n_calls"))
+
+
 @query(_LONG + ", f AS (SELECT term, array_to_string(list_sort(list_distinct(list(bucket))), ';') AS categories FROM long GROUP BY term) SELECT DISTINCT t.term, CASE WHEN categories IS NULL THEN 0 ELSE 1 END AS in_lexicon, coalesce(categories, '') AS categories FROM terms t LEFT JOIN f USING (term)")
 def lexicon_membership(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.membership(terms(spark, d).select("term").distinct(), lexicon.unpivot_flags(_wide(spark, d), _BUCKETS, "lm_", "lm_general"))
