@@ -115,6 +115,25 @@ def rebalance(rows: DataFrame, call: str, order: str, role: str, text: str, prio
     return scored.where(F.col(call).isNotNull()).repartition(call).sortWithinPartitions(call, order).mapInArrow(run, schema)
 
 
+_TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?"
+_TITLE = r"(?i:officer|president|director|relations|analyst|head|chair)"
+
+
+def label_name(label: Column) -> Column:
+    """The name in a speaker label, without times, question or answer marks, title, firm and separators; "Last, First" turned round."""
+    bare = F.trim(F.regexp_replace(label, rf"^(?:\s*[\[(<]?\s*{_TIME}(?:\s*-->\s*{_TIME})?\s*[\])>]?)+", ""))
+    bare = F.regexp_replace(bare, r"^<\s*[QA]\s*[-–—]\s*(.*?)\s*>$", "$1")
+    bare = F.regexp_replace(bare, rf"^(\p{{L}}[\p{{L}}\p{{M}}.'’-]*),\s*(?!\S*{_TITLE})(\p{{L}}[\p{{L}}\p{{M}}.'’-]*)$", "$2 $1")
+    bare = F.regexp_replace(bare, r"(?s)(?:\s[-–—](?:\s.*)?|\s*:|\s*\(.*|,\s.*)$", "")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+def full_label(label: Column) -> Column:
+    """Whether a label introduces its speaker: a name and, after a dash, a comma or in brackets, a title, or a firm inside question marks."""
+    titled = label.rlike(rf"\p{{L}}\.?(?:\s[-–—]\s|,\s|\s*\().*{_TITLE}")
+    return (titled | label.rlike(r"<\s*[QA]\s*[-–—]\s.*\s[-–—]\s.*>\s*$")) & F.contains(label_name(label), F.lit(" "))
+
+
 def match_names(rows: DataFrame, name: str, roster: str, least: float = 0.75) -> DataFrame:
     """Add ``matched, ratio``: the closest name of the row's roster array by sequence similarity, exact first."""
     schema = StructType([*rows.schema.fields, StructField("matched", StringType()), StructField("ratio", DoubleType())])

@@ -92,9 +92,10 @@ def role_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def speaker_name_match(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "call_lines", "call_id", "speaker").where("speaker is not null")
-    full = lines.where(F.col("speaker").rlike(r"\s[-–]\s.*(Officer|Relations|Analyst)")).groupBy("call_id").agg(F.array_sort(F.collect_set(F.regexp_extract("speaker", r"^(.*?)\s[-–]\s", 1))).alias("roster"))
-    typed = lines.where(F.col("speaker").rlike(r"^[A-Z][a-zö]+ [A-Z][a-zö]+$")).distinct()
-    return speakers.match_names(typed.join(full, "call_id"), "speaker", "roster").select("call_id", "speaker", "matched", F.round("ratio", 6).alias("ratio"))
+    label = F.col("speaker")
+    full = lines.where(speakers.full_label(label)).groupBy("call_id").agg(F.array_sort(F.collect_set(speakers.label_name(label))).alias("roster"))
+    named = lines.distinct().withColumn("name", speakers.label_name(label))
+    return speakers.match_names(named.join(full, "call_id", "left"), "name", "roster").select("call_id", "speaker", "matched", F.round("ratio", 6).alias("ratio"))
 
 
 @query()

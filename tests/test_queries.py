@@ -15,3 +15,13 @@ def test_query_equals_sql(spark, name):
 def test_query_runs(spark, name):
     connect()
     assert plans.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_names_of_labels_in_every_style(spark, tmp_path):
+    full = ["Ines Delvaforn (Chief Financial Officer)", "[00:15] Yara Voszeråde, Oakhaven Capital, Analyst", "00:48:58.406 --> 00:48:59.000 <Q - Edward Quen - Oakhaven Capital>", "Oskar Fen – Head of Investor Relations"]
+    names = ["Ines Delvaforn", "Yara Voszeråde", "Edward Quen", "Oskar Fen"]
+    styles = [(" ines  delvaforn ", 0), ("Yara Voszerade:", 1), ("Y. Voszeråde", 1), ("Quen, Edward", 2), ("OSKAR FEN -", 3), ("(52:24) Oskar B. Fen", 3), ("<A - Ines Delvafron>", 0), ("Operator", None), ("", None)]
+    rows = [(1, x) for x in full] + [(1, x) for x, _ in styles] + [(1, None), (2, "Oskar Fen")]
+    spark.createDataFrame(rows, "call_id int, speaker string").write.parquet(f"{tmp_path}/call_lines.parquet")
+    got = {(r.call_id, r.speaker): r.matched for r in plans.queries()["speaker_name_match"](spark, str(tmp_path)).collect()}
+    assert got == {(1, x): n for x, n in zip(full, names)} | {(1, x): None if k is None else names[k] for x, k in styles} | {(2, "Oskar Fen"): None}
