@@ -31,8 +31,13 @@ _LOOSE = "CASE " + " ".join(f"WHEN contains(x, '{a}') THEN '{r}'" for a, r in fi
 
 @query(rf"SELECT speaker, CASE WHEN coalesce(trim(speaker, ' '), '') = '' THEN 'Unknown' ELSE coalesce({_EXACT}, {_LOOSE}, CASE WHEN trim(speaker, ' ') = 'UNKNOWN' THEN 'Unknown' ELSE trim(speaker, ' ') END) END AS role, count(*) AS n FROM (SELECT speaker, regexp_replace(trim(lower(regexp_replace(coalesce(speaker, ''), '[^A-Za-z\s]', ' ', 'g')), ' '), '\s+', ' ', 'g') AS x FROM term_occ) WHERE speaker IS NULL OR speaker <> 'C.E.O.' GROUP BY ALL")
 def role_normal(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "term_occ", "speaker").where("speaker is null or speaker <> 'C.E.O.'")
-    return t.groupBy("speaker", roles.normal_role(F.col("speaker")).alias("role")).agg(F.count("*").alias("n"))
+    return role_normal_all(spark, d).where("speaker is null or speaker <> 'C.E.O.'")
+
+
+@query()
+def role_normal_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every speaker; ``role_normal`` is the part that its SQL can express: it has no title case for "C.E.O."."""
+    return table(spark, d, "term_occ", "speaker").groupBy("speaker", roles.normal_role(F.col("speaker")).alias("role")).agg(F.count("*").alias("n"))
 
 
 @query(r"SELECT call_id, sentence_id, name FROM (SELECT DISTINCT call_id, sentence_id, line_id, regexp_extract(sentence_text, '^\s*([A-Z][\p{L}.''-]+(?:\s+[A-Z][\p{L}.''-]+){0,3})\s*(?::|\s[-–—]{1,2})\s', 1) AS name FROM call_lines) WHERE name <> ''")

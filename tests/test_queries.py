@@ -17,6 +17,12 @@ def test_query_runs(spark, name):
     assert plans.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_every_speaker_has_a_role(spark, tmp_path):
+    spark.createDataFrame([("C.E.O.",), ("C.E.O.",), ("cfo",), (None,)], "speaker string").write.parquet(f"{tmp_path}/term_occ.parquet")
+    got = {(r.speaker, r.role): r.n for r in plans.queries()["role_normal_all"](spark, str(tmp_path)).collect()}
+    assert got == {("C.E.O.", "C.e.o."): 2, ("cfo", "CFO"): 1, (None, "Unknown"): 1}
+
+
 def test_names_of_labels_in_every_style(spark, tmp_path):
     full = ["Ines Delvaforn (Chief Financial Officer)", "[00:15] Yara Voszeråde, Oakhaven Capital, Analyst", "00:48:58.406 --> 00:48:59.000 <Q - Edward Quen - Oakhaven Capital>", "Oskar Fen – Head of Investor Relations"]
     names = ["Ines Delvaforn", "Yara Voszeråde", "Edward Quen", "Oskar Fen"]
