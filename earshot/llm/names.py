@@ -243,8 +243,8 @@ def _hint_fits(hint: str, line: str, generic: str, founded: bool) -> bool:
 
 
 def same_organisation(a: Name, b: Name) -> bool:
-    """Whether two cores with lines of business denote one organisation."""
-    if a.line != b.line or not _first_fits(a.first, b.first) or not _part_fits(a.generic, b.generic):
+    """Whether two cores denote one organisation: both with lines of business or both without."""
+    if a.line != b.line or a.hint != b.hint or not _first_fits(a.first, b.first) or not _part_fits(a.generic, b.generic):
         return False
     if bool(a.first) != bool(b.first):
         # the founder and "& Sons" left out: nothing else may differ
@@ -268,7 +268,8 @@ def organisations(names: DataFrame, name: str = "name", lines: list[str] = LINES
     abbreviations, cut-off ends, initials and short forms of first names, and
     slips do not tell names apart; line of business, unlike generic words and
     unlike first names do. A name whose line of business is unreadable joins
-    the one organisation of its root that it fits, else stands alone. Null,
+    the one organisation of its root that it fits; one that fits none joins
+    names of the same unknown words, as do names of a root alone. Null,
     blank and ``UNKNOWN`` are no names; repeated rows count once; an empty
     table gives no row; further columns are not read.
     """
@@ -297,17 +298,16 @@ def organisations(names: DataFrame, name: str = "name", lines: list[str] = LINES
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, at = [], []
-                for k, (root, line) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-                    made = make(root, line)
+                for k, (root, line, hint) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 3, 4)))):
+                    made = make(root, f"{line}|{hint}")
                     keys += made
                     at += [k] * len(made)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(c.take(pa.array(at, pa.int64())) for c in batch.columns)], schema=schema)
 
         return run, "key string, " + ", ".join(f"{side}{c} {'bigint' if c == 'core' else 'string'}" for c in ("core", "root", "first", "line", "hint", "generic", "legal"))
 
-    index, index_type = keyed(lambda root, line: [f"{line}.{x}" for x in _index_keys(root, edits)], "a_")
-    probe, probe_type = keyed(lambda root, line: [f"{line}.{x}" for x in _probe_keys(root, edits)], "b_")
-    pairs = told.mapInArrow(index, index_type).join(told.mapInArrow(probe, probe_type), "key").where("a_core <> b_core").drop("key").dropDuplicates(["a_core", "b_core"])
+    index, index_type = keyed(lambda root, what: [f"{what}.{x}" for x in _index_keys(root, edits)], "a_")
+    probe, probe_type = keyed(lambda root, what: [f"{what}.{x}" for x in _probe_keys(root, edits)], "b_")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,16 +319,20 @@ def organisations(names: DataFrame, name: str = "name", lines: list[str] = LINES
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     fields = ["core", "root", "first", "line", "hint", "generic", "legal"]
-    links = pairs.select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields]).mapInArrow(verify, "u bigint, v bigint")
-    roots = connected_components(links)
-    return _finish(parsed, cores, told, roots, edits, keyed)
 
+    def linked(some: DataFrame) -> DataFrame:
+        """``node, root`` of the cores that are linked with others of the same line of business or the same unknown words."""
+        pairs = some.mapInArrow(index, index_type).join(some.mapInArrow(probe, probe_type), "key").where("a_core <> b_core").drop("key").dropDuplicates(["a_core", "b_core"])
+        return connected_components(pairs.select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields]).mapInArrow(verify, "u bigint, v bigint"))
 
-def _finish(parsed: DataFrame, cores: DataFrame, told: DataFrame, roots: DataFrame, edits: int, keyed) -> DataFrame:
+    return _finish(parsed, cores, told, linked, edits, keyed)
+
+
+def _finish(parsed: DataFrame, cores: DataFrame, told: DataFrame, linked: Callable, edits: int, keyed: Callable) -> DataFrame:
     """Organisations of the told cores, then of the names whose line could not be told."""
-    orgs = told.join(roots.select(F.col("node").alias("core"), F.col("root").alias("org")), "core", "left").withColumn("org", F.coalesce("org", "core"))
-    index, index_type = keyed(lambda root, line: _index_keys(root, edits), "a_")
-    probe, probe_type = keyed(lambda root, line: _probe_keys(root, edits), "b_")
+    orgs = told.join(linked(told).select(F.col("node").alias("core"), F.col("root").alias("org")), "core", "left").withColumn("org", F.coalesce("org", "core"))
+    index, index_type = keyed(lambda root, what: _index_keys(root, edits), "a_")
+    probe, probe_type = keyed(lambda root, what: _probe_keys(root, edits), "b_")
     untold = cores.where("line = '' and hint <> ''")
     fields = ["core", "root", "first", "line", "hint", "generic", "legal"]
     # either side may be the longer one: both go into the index and both probe
@@ -346,9 +350,10 @@ def _finish(parsed: DataFrame, cores: DataFrame, told: DataFrame, roots: DataFra
                     vs.append(row[7])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    hits = pairs.mapInArrow(verify, "u bigint, v bigint")
+    hits = cut(pairs.mapInArrow(verify, "u bigint, v bigint"))
     fit = hits.join(orgs.select(F.col("core").alias("v"), "org"), "v").groupBy(F.col("u").alias("core")).agg(F.min("org").alias("org"), F.max("org").alias("other")).where("org = other").select("core", "org")
-    whole = orgs.select("core", "org").union(fit)
+    free = linked(cores.where("line = ''").join(hits.select(F.col("u").alias("core")).distinct(), "core", "left_anti"))
+    whole = orgs.select("core", "org").union(fit).union(free.select(F.col("node").alias("core"), F.col("root").alias("org")))
     return parsed.join(whole, "core", "left").select("name", F.coalesce("org", "core").alias("org"))
 
 

@@ -62,3 +62,10 @@ def test_firms(spark):
 
 def test_empty(spark):
     assert names.organisations(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_names_without_a_known_line(spark):
+    firms = [["Kestrel Holdings Inc", "Kestrel Holdings", "KESTREL HLDGS INC"], ["Kestrel Widgets Inc", "Kestrel Widgets", "KESTERL WIDGETS"], ["Kestrel Gadgets"], ["Pelmoor Ltd", "Pelmoor"], ["Pelmoor Dairy Ltd"]]
+    df = spark.createDataFrame([(n,) for firm in firms for n in firm], "name string")
+    got = {(r.name_a, r.name_b) for r in names.spelling_pairs(names.organisations(df)).collect()}
+    assert got == {tuple(sorted(p)) for firm in firms for p in itertools.combinations(firm, 2)}
