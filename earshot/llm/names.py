@@ -213,13 +213,22 @@ def _index_keys(root: str, k: int) -> list[str]:
 
 
 def _probe_keys(root: str, k: int) -> list[str]:
-    """Substrings that a segment of an equally long or shorter root may equal, by its position."""
+    """Substrings that a segment of an equally long or shorter root may equal, by its position.
+
+    An exchange across the border of two segments spoils both with one edit:
+    each substring also stands with that exchange undone at either end.
+    """
     out = set()
     for length in range(max(1, len(root) - k), len(root) + 1):
         shift = len(root) - length
         for i, (a, n) in enumerate(segments(length, k)):
             for at in range(max(0, a - (k - shift) // 2 - 1, a - k), min(len(root) - n, a + k) + 1):
-                out.add(f"{length}.{i}.{root[at : at + n]}")
+                part = root[at : at + n]
+                out.add(f"{length}.{i}.{part}")
+                if n and i and at:
+                    out.add(f"{length}.{i}.{root[at - 1]}{part[1:]}")
+                if n and i < k and at + n < len(root):
+                    out.add(f"{length}.{i}.{part[:-1]}{root[at + n]}")
     return sorted(out)
 
 

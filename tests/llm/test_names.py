@@ -69,3 +69,17 @@ def test_names_without_a_known_line(spark):
     df = spark.createDataFrame([(n,) for firm in firms for n in firm], "name string")
     got = {(r.name_a, r.name_b) for r in names.spelling_pairs(names.organisations(df)).collect()}
     assert got == {tuple(sorted(p)) for firm in firms for p in itertools.combinations(firm, 2)}
+
+
+def test_exchanges_across_segments_are_candidates():
+    assert set(names._index_keys("boktanrod", 2)) & set(names._probe_keys("botkanrxd", 2))
+    rng = random.Random(1)
+    for _ in range(20_000):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 12)))
+        at = rng.randrange(len(a) - 1)
+        b = a[:at] + a[at + 1] + a[at] + a[at + 2 :]
+        at, ch = rng.randrange(len(b) - 1), rng.choice("abcdefgh")
+        b = [b[:at] + ch + b[at:], b[:at] + b[at + 1 :], b[:at] + ch + b[at + 1 :], b[:at] + b[at + 1] + b[at] + b[at + 2 :]][rng.randrange(4)]
+        if names.distance(a, b, 2) <= 2:
+            longer, shorter = sorted((a, b), key=len, reverse=True)
+            assert set(names._index_keys(shorter, 2)) & set(names._probe_keys(longer, 2)), (a, b)
