@@ -11,14 +11,13 @@ an abbreviation or a number lose against the span that holds them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidate cuts that one sentence may span at most; beyond it the model must cut.
-MAX_CUTS = 200
 _BLANK_LINE = re.compile(r"(?:\r\n?|\n|\u2028)[^\S\r\n]*(?:\r\n?|\n|\u2028)|\u2029")
 _MARKS = re.compile(r"[.!?。！？．｡…‥।॥؟۔;;։።။]+")
 _CLOSERS = "\"'”’“»›」』)]）】］}"
@@ -221,21 +220,25 @@ def _spans(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     begins = [begin, *(n for _, n, _ in cuts)]
     ends = [*(c for c, _, _ in cuts), end]
     gain = [*(s for _, _, s in cuts), 0.0]
-    best, back = [0.0], [0]
-    quotes = re.compile(r"[\"“”„«»「」『』()\[\]（）【】]")
+    best, back, most = [0.0], [0], [0.0]
     # balance matters only where there are quotes: without any in the paragraph all spans balance
-    quoted = quotes.search(text, begin, end) is not None
+    at_signs = [m.start() for m in re.finditer(r"[\"“”„«»「」『』()\[\]（）【】]", text[begin:end])]
+    signs = "".join(text[begin + k] for k in at_signs)
+    before = [bisect_left(at_signs, n - begin) for n in begins]
     for j in range(len(ends)):
-        top, at = None, 0
-        for i in range(j, max(-1, j - MAX_CUTS), -1):
+        top, at, within = None, 0, bisect_left(at_signs, ends[j] - begin)
+        for i in range(j, -1, -1):
+            if top is not None and most[i] <= top:
+                break  # no earlier start can win
             if begins[i] >= ends[j]:
                 continue
-            s = best[i] + _length(text, begins[i], ends[j]) - (6.0 * min(2, _unbalanced(text, begins[i], ends[j])) if quoted else 0.0)
+            s = best[i] + _length(text, begins[i], ends[j])
+            if before[i] < within and (top is None or s > top):
+                s -= 6.0 * min(2, _unbalanced(signs, before[i], within))
             if top is None or s > top:
                 top, at = s, i
-            if not quoted and i < j and j - i > 24:
-                break
         best.append((top if top is not None else float("-inf")) + gain[j])
+        most.append(max(most[-1], best[-1]))
         back.append(at)
     out, j = [], len(ends)
     while j > 0:

@@ -92,3 +92,8 @@ def test_operator(spark):
     assert sorted((r.block_id, r.start_pos, r.end_pos) for r in out.where("block_id < 4").collect()) == [(1, 1, 4), (1, 1, 4), (1, 6, 9), (1, 6, 9)]
     assert out.where("block_id = 4").count() == 3000
     assert sentences(df.limit(0)).count() == 0
+
+
+def test_no_cap_on_the_cuts_in_a_sentence():
+    text = "We sold it to the " + "U.S. Army and " * 40 + "others. Then we left."
+    assert [text[a:z] for a, z in sentence_spans(text)] == [text[:-14], "Then we left."]
