@@ -2,6 +2,7 @@ import pytest
 from oracle import FOLDER, compare, connect
 
 from earshot.plans import queries as plans
+from earshot.plans.base import sentences
 
 SQL = plans.oracle_sql()
 
@@ -31,3 +32,14 @@ def test_names_of_labels_in_every_style(spark, tmp_path):
     spark.createDataFrame(rows, "call_id int, speaker string").write.parquet(f"{tmp_path}/call_lines.parquet")
     got = {(r.call_id, r.speaker): r.matched for r in plans.queries()["speaker_name_match"](spark, str(tmp_path)).collect()}
     assert got == {(1, x): n for x, n in zip(full, names)} | {(1, x): None if k is None else names[k] for x, k in styles} | {(2, "Oskar Fen"): None}
+
+
+def test_every_known_role_is_zipped(spark):
+    connect()
+    s = sentences(spark, FOLDER).select("call_id", "role", "sentence_id").toPandas().sort_values(["call_id", "sentence_id"])
+    got = {(r.call_id, r.sentence_id): r.role for r in plans.queries()["role_positional_zip_all"](spark, FOLDER).collect()}
+    want = {}
+    for call, rows in s.groupby("call_id"):
+        known = [r for r in rows.role if r != "Unknown"]
+        want |= {(call, k): r for k, r in zip(rows.sentence_id, known + ["IR"] * len(rows))}
+    assert got == want
