@@ -1,10 +1,10 @@
 """Sentence boundaries across languages and scripts (problem 2).
 
-A semi-Markov model: candidate cuts lie after sentence marks (with the closing
-quotes and brackets behind them), between Thai phrases and at blank lines.
+A semi-Markov model: candidate cuts lie after every sentence mark (with the
+closing quotes and brackets behind it), between Thai phrases and at blank lines.
 Dynamic programming then chooses whole spans between cuts; a span is scored by
-its length, its opening word, its closing word with the mark, and by whether
-quotations and brackets balance in it, so that the marks inside a quotation,
+its length, its opening word, its closing word with the mark, and by the
+quotations and brackets that it cuts, so that the marks inside a quotation,
 an abbreviation or a number lose against the span that holds them.
 """
 
@@ -12,17 +12,28 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Costs in a span's score: each quoted part cut at one side, over-long spans, spans that begin without letter or digit.
+PART, LONG, BARE = 6.0, 0.2, 2.0
+#: Characters beyond which a span is over-long, and within which the word before a dot (with the one before it) must lie to be an abbreviation.
+LONG_SPAN, LOOK_BACK = 1000, 256
+
 _BLANK_LINE = re.compile(r"(?:\r\n?|\n|\u2028)[^\S\r\n]*(?:\r\n?|\n|\u2028)|\u2029")
 _MARKS = re.compile(r"[.!?。！？．｡…‥।॥؟۔;;։።။]+")
 _CLOSERS = "\"'”’“»›」』)]）】］}"
 _OPENERS = "\"'“‘„«‹「『([（【{¿¡"
-_PAIRS = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "]": "[", "）": "(", "】": "【"}
+_PAIRS = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "]": "[", "】": "【"}
+_WIDE = {"（": "(", "）": ")"}
+_SIGN = re.compile(r"[\"“”„«»「」『』()\[\]（）【】]")
+_ALNUM = re.compile(r"[^\W_]")
+_THAI_SPACE = re.compile(r"(?<=[\u0e00-\u0e7f])\s+(?=\S)")
+_UNIT_AFTER = re.compile(r"[\d.,]+\s*[A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]+(?:[.'’-][^\W\d_]+)*")
 _LAST = re.compile(r"[^\s\"'“”„«»(\[（「」』）》】。！？；：，、।؟!?;:\u3040-\u30ff\u3400-\u9fff]+$")
 
@@ -45,9 +56,9 @@ AFTER_ORDINAL = frozenset("quartal quartals halbjahr halbjahres jahrhundert jahr
 #: Common first words of sentences; they decide after acronyms.
 OPENING = frozenset(
     """the a an we our i he she it they you this that these those there here in on at by for from with as if when while what who why how where is are was were do does did can could will would should may
-    and but so or yet however mr mrs ms dr no yes please thank thanks net costs version both
-    der die das ein eine wir ich er sie es ist sind im in am herr frau insgesamt und aber
-    le la les un une nous je il elle ils on est m mme voir peut
+    and but so or yet however mr mrs ms dr no yes please thank thanks
+    der die das ein eine wir ich er sie es ist sind im in am herr frau und aber
+    le la les un une nous je il elle ils on est m mme peut
     el los las un una nosotros en es qué""".split()
 )
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
@@ -116,17 +127,18 @@ def _closing(text: str, begin: int, mark: int, end: int, cut: int, nxt: int) ->
     if any(m in marks for m in "!?！？؟。｡।॥۔։።။"):
         return 2.0
     # a single dot
-    token = _LAST.search(text, begin, mark)
+    near = text[max(begin, mark - LOOK_BACK) : mark]
+    token = _LAST.search(near)
     word = token[0].strip(".,;:)").lower() if token else ""
     if not word:
         return 0.5 if closers or before in ")”\"»]%" else 1.0 if _script(before or " ") == "han" else -2.0
     if before.isdigit():
-        lead = text[begin : mark - len(re.search(r"[\d.,]+$", text[begin:mark])[0])].split()
+        lead = near[: len(near) - len(re.search(r"[\d.,]+$", near)[0])].split()
         lead_word = lead[-1].lower() if lead else ""
         follows = _WORD.match(text, nxt)
         if follows and follows[0].lower() in AFTER_ORDINAL:
             return -6.0
-        if lead_word in BEFORE_ORDINAL and len(re.search(r"\d+$", text[begin:mark])[0]) <= 2:
+        if lead_word in BEFORE_ORDINAL and len(re.search(r"\d+$", near)[0]) <= 2:
             return -4.0
         return 1.0
     if "." in word and word not in LEADING and not _ACRONYM.fullmatch(word):
@@ -143,7 +155,7 @@ def _closing(text: str, begin: int, mark: int, end: int, cut: int, nxt: int) ->
     if follows and follows[0].lower() in LEGAL:
         return -6.0
     if tail == "г":  # year after a number, else town
-        lead = text[begin : mark - 1].split()
+        lead = near[:-1].split()
         return 0.5 if lead and lead[-1][-1].isdigit() else -6.0
     if len(tail) == 1 and tail.isalpha() and _script(tail) in ("cased", "greek"):
         return -6.0 if tail != "i" else -0.5
@@ -152,9 +164,9 @@ def _closing(text: str, begin: int, mark: int, end: int, cut: int, nxt: int) ->
     return 1.0
 
 
-def _candidates(text: str, begin: int, end: int) -> list[tuple[int, int, float]]:
-    """``(end of the left span, begin of the right span, score)`` of every possible cut in a paragraph."""
-    out = []
+def _candidates(text: str, begin: int, end: int) -> list[tuple[int, int, float, float]]:
+    """``(end of the left span, begin of the right span, closing, opening)`` of every possible cut in a paragraph, with the scores of its two sides."""
+    out = {}
     for m in _MARKS.finditer(text, begin, end):
         cuts = [m.end()]
         at = m.end()
@@ -163,86 +175,123 @@ def _candidates(text: str, begin: int, end: int) -> list[tuple[int, int, float]]
             cuts.append(at)
         if at == m.end() and at + 1 < end and text[at] in " \u00a0\u202f" and text[at + 1] == "»":
             cuts.append(at + 2)
-        for cut in dict.fromkeys([cuts[0], cuts[-1], *cuts]):
+        for cut in cuts:
             nxt = cut
             while nxt < end and text[nxt].isspace():
                 nxt += 1
-            if nxt >= end:
-                continue
-            if (score := _closing(text, begin, m.start(), m.end(), cut, nxt) + _opening(text, nxt)) > -3:
-                out.append((cut, nxt, score))
-    for m in re.finditer(r"(?<=[\u0e00-\u0e7f])\s+(?=\S)", text[begin:end]):
-        cut, nxt = begin + m.start(), begin + m.end()
-        if text[nxt].isdigit() and not re.match(r"[\d.,]+\s*[A-Za-z]", text[nxt:end]):
+            if nxt < end:
+                out[cut, nxt] = (_closing(text, begin, m.start(), m.end(), cut, nxt), _opening(text, nxt))
+    for m in _THAI_SPACE.finditer(text, begin, end):
+        cut, nxt = m.span()
+        if nxt >= end or text[nxt].isdigit() and not _UNIT_AFTER.match(text, nxt, end):
             continue
         if _script(text[nxt]) != "thai" and not (text[nxt].isalnum() or text[nxt] in _OPENERS):
             continue
-        out.append((cut, nxt, 1.0))
-    return sorted(set(out))
+        out[cut, nxt] = (1.0, 0.0)
+    return sorted((c, n, *s) for (c, n), s in out.items())
+
+
+def _straight(text: str, marks: list[int], begin: int, end: int) -> list[tuple[int, int]]:
+    """Pairs of straight quotation marks: by turns if their number is even, else by the side on which a word stands."""
+    if len(marks) % 2 == 0:
+        return list(zip(marks[::2], marks[1::2]))
+    out, opened = [], None
+    for k in marks:
+        free_before = k == begin or text[k - 1].isspace() or text[k - 1] in _OPENERS
+        free_after = k + 1 >= end or text[k + 1].isspace() or text[k + 1] in ".,;:!?" + _CLOSERS
+        if opened is None or free_before and not free_after:
+            opened = k if not (free_after and not free_before) else None
+        else:
+            out.append((opened, k))
+            opened = None
+    return out
+
 
+def quoted_parts(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """Positions of each opening quotation mark or bracket and of its partner; those without partner are left out.
 
-def _unbalanced(text: str, begin: int, end: int) -> int:
-    """Quotation marks and brackets without their partner in the span."""
-    straight, stack, lost = 0, [], 0
-    for k in range(begin, end):
-        ch = text[k]
+    One pass with a stack for each kind of sign. A closing sign that stands
+    where one opens (»so«, ”so”) opens.
+    """
+    out: list[tuple[int, int]] = []
+    straight: list[int] = []
+    opened: dict[str, list[int]] = {}
+    take = lambda kind, k: out.append((opened[kind].pop(), k))
+    for m in _SIGN.finditer(text, begin, end):
+        k, ch = m.start(), m[0]
         if ch == '"':
-            straight += 1
-        elif ch in "„«「『([【":
-            stack.append(ch)
-        elif ch == "（":
-            stack.append("(")
-        elif ch == "“":
-            if "„" in stack:
-                stack.remove("„")
-            else:
-                stack.append(ch)
+            straight.append(k)
+            continue
+        ch = _WIDE.get(ch, ch)
+        if ch == "“" and opened.get("„"):
+            take("„", k)
+        elif ch == "«" and opened.get("»"):
+            take("»", k)
         elif ch in _PAIRS:
-            if _PAIRS[ch] in stack:
-                stack.reverse()
-                stack.remove(_PAIRS[ch])
-                stack.reverse()
-            elif ch == "”" and "„" in stack:
-                stack.remove("„")
-            else:
-                lost += 1
-    return straight % 2 + len(stack) + lost
+            kind = next((o for o in (_PAIRS[ch], *("„”" if ch == "”" else "")) if opened.get(o)), None)
+            if kind:
+                take(kind, k)
+            elif ch in "»”" and (k == begin or text[k - 1].isspace()):
+                opened.setdefault(ch, []).append(k)
+        else:
+            opened.setdefault(ch, []).append(k)
+    return out + _straight(text, straight, begin, end)
 
 
-def _length(text: str, begin: int, end: int) -> float:
-    """Sentences of a single sign are unlikely, so are very long ones."""
-    letters = sum(map(str.isalnum, text[begin : min(end, begin + 8)]))
-    return (-2.0 if not letters else 0.0) - (0.2 if end - begin > 1000 else 0.0)
+def _cut_parts(pairs: list[tuple[int, int]], cuts: list[int]) -> list[int]:
+    """How many quoted or bracketed parts each cut position (in order) runs through."""
+    opens, closes = sorted(o for o, _ in pairs), sorted(c for _, c in pairs)
+    return [bisect_left(opens, c) - bisect_left(closes, c) for c in cuts]
 
 
 def _spans(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """The spans of the highest total score in a paragraph.
+
+    A span from ``i`` to ``j`` scores opening(i) + closing(j) + length(i, j) +
+    balance(i, j). The balance costs ``PART`` for each quoted or bracketed part
+    that the span cuts at its begin and at its end. The length costs ``LONG``
+    beyond ``LONG_SPAN`` characters and ``BARE`` if the first eight hold no
+    letter or digit. The best start of every end comes from a sliding maximum,
+    so the work is linear in the number of cuts however long a span grows.
+    """
     cuts = _candidates(text, begin, end)
-    begins = [begin, *(n for _, n, _ in cuts)]
-    ends = [*(c for c, _, _ in cuts), end]
-    gain = [*(s for _, _, s in cuts), 0.0]
-    best, back, most = [0.0], [0], [0.0]
-    # balance matters only where there are quotes: without any in the paragraph all spans balance
-    at_signs = [m.start() for m in re.finditer(r"[\"“”„«»「」『』()\[\]（）【】]", text[begin:end])]
-    signs = "".join(text[begin + k] for k in at_signs)
-    before = [bisect_left(at_signs, n - begin) for n in begins]
-    for j in range(len(ends)):
-        top, at, within = None, 0, bisect_left(at_signs, ends[j] - begin)
-        for i in range(j, -1, -1):
-            if top is not None and most[i] <= top:
-                break  # no earlier start can win
-            if begins[i] >= ends[j]:
-                continue
-            s = best[i] + _length(text, begins[i], ends[j])
-            if before[i] < within and (top is None or s > top):
-                s -= 6.0 * min(2, _unbalanced(signs, before[i], within))
-            if top is None or s > top:
-                top, at = s, i
-        best.append((top if top is not None else float("-inf")) + gain[j])
-        most.append(max(most[-1], best[-1]))
+    if not cuts:
+        return [(begin, end)]
+    begins = [begin, *(n for _, n, _, _ in cuts)]
+    ends = [*(c for c, _, _, _ in cuts), end]
+    parts = _cut_parts(quoted_parts(text, begin, end), ends[:-1])
+    closing = [*(c - PART * n for (_, _, c, _), n in zip(cuts, parts)), 0.0]
+    opening = [0.0, *(o - PART * n for (_, _, _, o), n in zip(cuts, parts))]
+    word = [m.start() if (m := _ALNUM.search(text, b, b + 8)) else end + 8 for b in begins]
+    value: list[float] = []  # best score of what lies before a start, with its opening
+    back: list[int] = []
+    best, far, far_at = 0.0, float("-inf"), -1  # far: best start more than LONG_SPAN back
+    near: deque[tuple[float, int]] = deque()  # falling scores of the starts within LONG_SPAN
+    fresh: deque[int] = deque()  # starts whose first word may lie behind the end
+    for j, stop in enumerate(ends):
+        value.append(best + opening[j])
+        fresh.append(j)
+        while fresh and (word[fresh[0]] < stop or begins[fresh[0]] + 8 <= stop):
+            i = fresh.popleft()
+            v = value[i] - (BARE if word[i] >= stop else 0.0)
+            while near and near[-1][0] <= v:
+                near.pop()
+            near.append((v, i))
+        while near and stop - begins[near[0][1]] > LONG_SPAN:
+            v, i = near.popleft()
+            if v >= far:
+                far, far_at = v, i
+        top, at = (near[0] if near else (float("-inf"), 0))
+        if far - LONG > top:
+            top, at = far - LONG, far_at
+        for i in fresh:
+            if begins[i] < stop and value[i] - (BARE if word[i] >= stop else 0.0) >= top:
+                top, at = value[i] - (BARE if word[i] >= stop else 0.0), i
         back.append(at)
+        best = top + closing[j]
     out, j = [], len(ends)
     while j > 0:
-        i = back[j]
+        i = back[j - 1]
         out.append((begins[i], ends[j - 1]))
         j = i
     return out[::-1]

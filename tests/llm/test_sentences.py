@@ -97,3 +97,56 @@ def test_operator(spark):
 def test_no_cap_on_the_cuts_in_a_sentence():
     text = "We sold it to the " + "U.S. Army and " * 40 + "others. Then we left."
     assert [text[a:z] for a, z in sentence_spans(text)] == [text[:-14], "Then we left."]
+
+
+@pytest.mark.parametrize("marks", ['""', "“”", "«»", "»«", "„“", "()", "（）", "「」"])
+@pytest.mark.parametrize("n", [1, 6, 300])
+def test_a_quotation_of_any_length_stays_in_its_sentence(marks, n):
+    text = f"He said: {marks[0]}{' '.join(['We hold the forecast this year.'] * n)}{marks[1]}, and then he left. It was late."
+    assert pieces(text)[-1] == "It was late." and len(pieces(text)) == 2
+
+
+def test_a_mark_without_partner_binds_nothing():
+    text = "We sold the 5\" pipe. He said: \"It is done. We left.\" Then it rained."
+    assert pieces(text) == ["We sold the 5\" pipe.", "He said: \"It is done. We left.\"", "Then it rained."]
+    assert pieces("It fell (see below. Then it rose. We left.") == ["It fell (see below.", "Then it rose.", "We left."]
+
+
+def test_work_grows_in_proportion_to_the_text():
+    import time
+
+    for unit in ("We hold it. ", "a.b.c.", '"So it is." "No. Never." ', "ราคา ดี "):
+        began = time.time()
+        spans = sentence_spans("He said: “" + unit * (400_000 // len(unit)) + "”")
+        assert time.time() - began < 20 and spans
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("aB1 .!?\"“”()「」\n;…"), max_size=40))
+def test_programme_finds_the_best_total(text):
+    from earshot.llm import sentences as m
+
+    begin, end = len(text) - len(text.lstrip()), len(text.rstrip())
+    if begin >= end:
+        return
+    cuts = m._candidates(text, begin, end)
+    parts = m._cut_parts(m.quoted_parts(text, begin, end), [c for c, *_ in cuts])
+
+    def total(chosen):
+        edges = [(begin, 0.0, None), *((cuts[k][1], cuts[k][3] - m.PART * parts[k], k) for k in chosen)]
+        stops = [*((cuts[k][0], cuts[k][2] - m.PART * parts[k]) for k in chosen), (end, 0.0)]
+        score = 0.0
+        for (b, o, _), (z, c) in zip(edges, stops):
+            if b >= z:
+                return float("-inf")
+            bare = not any(ch.isalnum() for ch in text[b : min(z, b + 8)])
+            score += o + c - m.BARE * bare - m.LONG * (z - b > m.LONG_SPAN)
+        return score
+
+    from itertools import combinations
+
+    if len(cuts) <= 8:
+        best = max(total(c) for n in range(len(cuts) + 1) for c in combinations(range(len(cuts)), n))
+        found = m._spans(text, begin, end)
+        got = total([next(k for k, c in enumerate(cuts) if c[1] == a and c[0] == z) for (_, z), (a, _) in zip(found, found[1:])])
+        assert abs(got - best) < 1e-9
