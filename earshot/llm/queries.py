@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import leaks, names, repeated_lines, sentences, splits, terms, tokens, toxicity, turns
+from earshot.session import cut
 from earshot.sources.tables import table
 
 
@@ -61,16 +62,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents", "doc_id", "text"))
 
 
-def _passages(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.passage_pairs(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+def _matches(spark: SparkSession, d: str, positions: bool = False) -> DataFrame:
+    return leaks.window_matches(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"), positions=positions)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(_passages(spark, d))
+    return leaks.leaked(_matches(spark, d))
 
 
 def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.reparameterised(_passages(spark, d))
+    return leaks.reparameterised(_matches(spark, d, positions=True).transform(cut))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
