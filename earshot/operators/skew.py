@@ -31,3 +31,18 @@ def two_level(rows: DataFrame, keys: list[str], partial: list[Column], final: li
     """
     salt = F.pmod(F.xxhash64(*salt_of), F.lit(salts)).alias("__salt")
     return rows.groupBy(*keys, salt).agg(*partial).groupBy(*keys).agg(*final)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, most: int = 2000) -> DataFrame:
+    """Inner join of two tables that both repeat their keys; a key with many left rows is worked on by many tasks.
+
+    Keys with more than ``most`` left rows are counted (with a map-side
+    combine); their left rows are dealt out by the hash of ``spread_by`` in
+    parts of about ``most``, their right rows go to every part. All other rows
+    stay single. Null keys match nothing.
+    """
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    a = salted_lookup(left, hot, [key], "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("__parts")
+    b = salted_lookup(right, hot, [key], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return a.join(b, [key, "__part"]).drop("__part")

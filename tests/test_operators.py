@@ -157,3 +157,14 @@ def test_terms_of_any_signs(spark):
     others = spark.createDataFrame([("one-time refinancing",), ("10-k",), ("ｄｅｂｔ",), ("%",), ("cash\xa0flow",), ("café loan",)], "term string")
     got = sorted((r.i, r.term) for r in match.term_occurrences(df, plain, others, ["i"], "s").collect())
     assert got == sorted([(1, "net debt to equity ratio"), (1, "one-time refinancing"), (2, "10-k"), (2, "ｄｅｂｔ"), (2, "%"), (3, "note"), (3, "cash\xa0flow"), (3, "café loan")])
+
+
+def test_spread_join_equals_the_plain_join(spark):
+    rng = random.Random(3)
+    left = [("hot" if k % 3 else None if k % 7 == 0 else f"k{rng.randrange(9)}", k) for k in range(400)]
+    right = [(rng.choice(["hot", None, *(f"k{j}" for j in range(9))]), k) for k in range(40)]
+    a, b = spark.createDataFrame(left, "key string, x int"), spark.createDataFrame(right, "key string, y int")
+    want = sorted((x, y) for k, x in left for j, y in right if k is not None and k == j)
+    for most in (5, 10_000):
+        assert sorted((r.x, r.y) for r in skew.spread_join(a, b, "key", "x", most).collect()) == want
+    assert skew.spread_join(a.limit(0), b, "key", "x").count() == 0
