@@ -1,8 +1,11 @@
 """Variant spellings of names typed by people (problem 6).
 
 A name is parsed into its parts: root (founding name), founder's first name,
-line of business, further generic words, legal form. Generic words are
-recognised by vocabulary, by abbreviation and by one slip. Roots with slips
+line of business, further generic words, legal form. Lines of business and
+generic words are those of a vocabulary and all words that follow many
+different founding names in the data; they are recognised when written out,
+abbreviated, cut off or with one slip. They only keep firms of one founding
+name apart: every name enters the join, whatever words it holds. Roots with slips
 are found by a pigeonhole segment join: a string within k edits of another
 keeps one of its k + 1 segments whole, at a position shifted by k at most, so
 each root is cut into segments that are joined with the substrings of the
@@ -16,12 +19,14 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.splits import connected_components
+from earshot.operators.skew import spread_join
 from earshot.session import cut
 
 #: Edits that the segment join finds; two slips count only if all other parts agree.
@@ -30,14 +35,14 @@ EDITS = 2
 #: Legal forms by spelling.
 LEGAL = {"inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "ltd": "ltd", "limited": "ltd", "llc": "llc", "llp": "llp", "lp": "lp", "plc": "plc", "ag": "ag", "sa": "sa", "gmbh": "gmbh", "nv": "nv", "bv": "bv", "spa": "spa", "oyj": "oyj", "asa": "asa", "ab": "ab", "se": "se"}
 #: Lines of business: they tell firms of one founding name apart. A parameter of the operator.
-LINES = (
+LINES = tuple(
     "airlines airways apparel automotive banking bioscience biologics biotech brewing broadcasting cable capital ceramics chemicals communications computers construction containers dairy drilling education electric electronics energy "
     "engineering entertainment environmental fertilizer financial foods footwear furniture gaming gas glass gold healthcare homes hospitality hotels instruments insurance leasing logistics machinery marine media medical metals mining "
     "motors networks oil optics outfitters packaging paper petroleum pharma pharmaceuticals pipelines plastics power properties publishing railways realty refining restaurants retail robotics rubber security semiconductor shipping "
-    "software solar staffing steel storage stores telecom textiles therapeutics timber tobacco toys transport trucking turbines utilities water wireless"
-).split()
+    "software solar staffing steel storage stores telecom textiles therapeutics timber tobacco toys transport trucking turbines utilities water wireless".split()
+)
 #: Further generic words of company names.
-GENERIC = "associates brands combined enterprises group holdings industries international laboratories manufacturing partners products resources services systems technologies trust ventures".split()
+GENERIC = tuple("associates brands combined enterprises group holdings industries international laboratories manufacturing partners products resources services systems technologies trust ventures".split())
 #: Short forms of first names.
 NICKNAMES = {
     "al": "albert", "alex": "alexander", "andy": "andrew", "beth": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine", "charlie": "charles", "chris": "christopher", "dan": "daniel", "danny": "daniel",
@@ -46,10 +51,14 @@ NICKNAMES = {
     "marge": "margaret", "matt": "matthew", "meg": "margaret", "mike": "michael", "nat": "nathan", "nick": "nicholas", "pam": "pamela", "pat": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip", "ray": "raymond", "rich": "richard", "rick": "richard",
     "rob": "robert", "ron": "ronald", "sam": "samuel", "sandy": "alexandra", "steve": "steven", "sue": "susan", "ted": "edward", "tim": "timothy", "toby": "tobin", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "vicky": "victoria", "walt": "walter", "will": "william",
 }
+FIRST_NAMES = frozenset(NICKNAMES) | frozenset(NICKNAMES.values())
+#: Founding names that a word must follow to count as a line of business, at least and as a share of all names (which bounds the words).
+LINE_SUPPORT, LINE_SHARE = 12, 1 / 5000
 #: Entries that are no names.
 NO_NAME = ("unknown",)
 
 _NOTE = re.compile(r"\b(?:f/k/a|d/b/a|formerly|a/k/a)\b.*|\([^)]*\)|\([^)]*$|\s*-\s*(?:adr|ad|a|old|ol|o|cl(?:ass)?\s*[a-c]?|c)\s*$|\s+-\s*$", re.I)
+_PERSON = re.compile(r"^\s*([^\W\d_]{2,}),\s*([^\W\d_]{2,})\.?\s*$")
 _LAST_FIRST = re.compile(r"^\s*([^\W\d_]+),\s*([^\W\d_]+\.?)\s+(?=(?:&|and)\s+sons\b|sons\b)", re.I)
 _INITIALS = re.compile(r"[A-Z]\.?[A-Z]\.?")
 
@@ -83,13 +92,14 @@ def _abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-def generic_word(token: str, words: list[str], last: bool = False) -> str | None:
+@lru_cache(200_000)
+def generic_word(token: str, words: tuple[str, ...], last: bool = False) -> str | None:
     """The one word of the vocabulary that the token spells, shortens, cuts off (``last``) or misses by one slip."""
     for fits in (
         lambda w: w == token,
         lambda w: w.startswith(token) and len(token) >= 3,
         lambda w: _abbreviates(token, w),
-        lambda w: len(token) >= 4 and distance(token, w, 1) <= 1,
+        lambda w: len(token) >= 4 and abs(len(token) - len(w)) <= 1 and distance(token, w, 1) <= 1,
         lambda w: last and w.startswith(token),
         lambda w: last and len(token) >= 5 and any(distance(token, w[:k], 1) <= 1 for k in (len(token), len(token) - 1, len(token) + 1)),
     ):
@@ -128,17 +138,19 @@ def _tokens(name: str) -> list[str]:
     return re.findall(r"[^\W_]+", name)
 
 
-def parse_name(name: str | None, lines: list[str] = LINES) -> Name | None:
+def parse_name(name: str | None, lines: tuple[str, ...] = LINES) -> Name | None:
     """Parts of a name; None for null, blank and no names."""
     if name is None or name.strip().lower() in NO_NAME:
         return None
+    if (m := _PERSON.match(name)) and not any(generic_word(m[2].lower(), w, True) or m[2].lower() in LEGAL for w in (lines, GENERIC)):
+        name = f"{m[2]} {m[1]}"  # last name first
     raw = _tokens(name)
     tokens = [t.lower() for t in raw]
     if tokens and tokens[0] == "the" and len(tokens) > 1:
         raw, tokens = raw[1:], tokens[1:]
     if not tokens:
         return None
-    line = generic = legal = first = hint = ""
+    line = generic = legal = ""
     unknown: list[int] = []
     sons = next((k for k, t in enumerate(tokens) if k and t in ("sons", "son")), None)
     for k, t in enumerate(tokens):
@@ -154,6 +166,19 @@ def parse_name(name: str | None, lines: list[str] = LINES) -> Name | None:
             unknown.append(k)
     if not unknown:
         return Name(" ".join(tokens), "", "", "", "", "")
+    if sons is None and not line and not generic and len(unknown) == 2:
+        # a person's name: first name first, in its long form
+        if tokens[unknown[1]] in FIRST_NAMES and tokens[unknown[0]] not in FIRST_NAMES and not legal:
+            unknown.reverse()
+        given, family = (tokens[k] for k in unknown)
+        if given in FIRST_NAMES and not any(generic_word(family, w, True) for w in (lines, GENERIC)):
+            return Name(NICKNAMES.get(given, given), "", "", family, "", legal)
+    return _parts(raw, tokens, unknown, sons, line, generic, legal, lines)
+
+
+def _parts(raw: list[str], tokens: list[str], unknown: list[int], sons: int | None, line: str, generic: str, legal: str, lines: tuple[str, ...]) -> Name:
+    """The parts of a name whose words outside the vocabulary are ``unknown``."""
+    first = hint = ""
     if sons is None and len(unknown) >= 3 and (near := [k for k in unknown[1:] if distance(tokens[k], "sons", 1) <= 1]):
         sons = near[0]
         unknown.remove(sons)
@@ -253,7 +278,9 @@ def _hint_fits(hint: str, line: str, generic: str, founded: bool) -> bool:
 
 def same_organisation(a: Name, b: Name) -> bool:
     """Whether two cores denote one organisation: both with lines of business or both without."""
-    if a.line != b.line or a.hint != b.hint or not _first_fits(a.first, b.first) or not _part_fits(a.generic, b.generic):
+    if a.hint != b.hint and (a.root != b.root or min(len(a.hint), len(b.hint)) < 5 or distance(a.hint, b.hint, 1) > 1):
+        return False
+    if a.line != b.line or not _first_fits(a.first, b.first) or not _part_fits(a.generic, b.generic):
         return False
     if bool(a.first) != bool(b.first):
         # the founder and "& Sons" left out: nothing else may differ
@@ -266,23 +293,49 @@ def same_organisation(a: Name, b: Name) -> bool:
     return d == 2 and min(len(a.root), len(b.root)) >= 7 and a.generic == b.generic and a.legal == b.legal != "" and a.first == b.first
 
 
+def learned_lines(names: DataFrame, name: str = "name", known: tuple[str, ...] = LINES) -> tuple[str, ...]:
+    """``known`` and the words that follow at least ``LINE_SUPPORT`` different founding names of ``names`` (distinct).
+
+    A word that abbreviates, cuts off or misspells a known, a generic or a
+    more frequent such word is none of its own. The share ``LINE_SHARE`` of all
+    names that a word must follow bounds how many reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {(w, t[0]) for n in batch.column(0).to_pylist() if n for t in [[x.lower() for x in _tokens(n)]] for w in t[1:] if len(w) >= 4 and w.isalpha() and w not in LEGAL and w not in ("sons", "and") and w != t[0]}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["word", "root"])
+
+    followed = names.select(F.col(name).alias("name")).mapInArrow(run, "word string, root string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    least = names.agg(F.greatest(F.lit(LINE_SUPPORT), F.count("*") * LINE_SHARE).alias("least"))
+    found = followed.crossJoin(F.broadcast(least)).where("n >= least").orderBy(F.desc("n"), "word").select("word").toPandas()["word"]
+    out = list(known)
+    for w in found:
+        if not any(x.startswith(w) or w.startswith(x) and len(w) <= len(x) + 2 or _abbreviates(w, x) or abs(len(w) - len(x)) <= 1 and distance(w, x, 1) <= 1 for x in [*out, *GENERIC, *LEGAL]):
+            out.append(w)
+    return tuple(out)
+
+
 _CORE = "root string, first string, line string, hint string, generic string, legal string"
 
 
-def organisations(names: DataFrame, name: str = "name", lines: list[str] = LINES, edits: int = EDITS) -> DataFrame:
+def organisations(names: DataFrame, name: str = "name", lines: tuple[str, ...] = LINES, edits: int = EDITS) -> DataFrame:
     """``name, org`` of every distinct name: the spellings of one organisation share ``org`` (a bigint).
 
     Case, accents, spacing, punctuation, order of the parts, notes in brackets,
     former names, share classes, legal forms spelled otherwise or left out,
     abbreviations, cut-off ends, initials and short forms of first names, and
     slips do not tell names apart; line of business, unlike generic words and
-    unlike first names do. A name whose line of business is unreadable joins
+    unlike first names do. ``lines`` are known lines of business, to which the
+    words that follow many founding names are added. A name whose line of business is unreadable joins
     the one organisation of its root that it fits; one that fits none joins
     names of the same unknown words, as do names of a root alone. Null,
     blank and ``UNKNOWN`` are no names; repeated rows count once; an empty
     table gives no row; further columns are not read.
     """
     distinct = names.select(F.col(name).cast("string").alias("name")).where(F.col("name").isNotNull()).distinct()
+    distinct = cut(distinct)
+    lines = learned_lines(distinct, "name", tuple(lines))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["name", "root", "first", "line", "hint", "generic", "legal"]
@@ -307,8 +360,8 @@ def organisations(names: DataFrame, name: str = "name", lines: list[str] = LINES
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, at = [], []
-                for k, (root, line, hint) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 3, 4)))):
-                    made = make(root, f"{line}|{hint}")
+                for k, (root, line) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 3)))):
+                    made = make(root, line)
                     keys += made
                     at += [k] * len(made)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(c.take(pa.array(at, pa.int64())) for c in batch.columns)], schema=schema)
@@ -331,7 +384,7 @@ def organisations(names: DataFrame, name: str = "name", lines: list[str] = LINES
 
     def linked(some: DataFrame) -> DataFrame:
         """``node, root`` of the cores that are linked with others of the same line of business or the same unknown words."""
-        pairs = some.mapInArrow(index, index_type).join(some.mapInArrow(probe, probe_type), "key").where("a_core <> b_core").drop("key").dropDuplicates(["a_core", "b_core"])
+        pairs = spread_join(some.mapInArrow(index, index_type), some.mapInArrow(probe, probe_type), "key", "a_core").where("a_core <> b_core").drop("key").dropDuplicates(["a_core", "b_core"])
         return connected_components(pairs.select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields]).mapInArrow(verify, "u bigint, v bigint"))
 
     return _finish(parsed, cores, told, linked, edits, keyed)
@@ -345,8 +398,8 @@ def _finish(parsed: DataFrame, cores: DataFrame, told: DataFrame, linked: Callab
     untold = cores.where("line = '' and hint <> ''")
     fields = ["core", "root", "first", "line", "hint", "generic", "legal"]
     # either side may be the longer one: both go into the index and both probe
-    one = untold.mapInArrow(index, index_type).join(told.mapInArrow(probe, probe_type), "key").select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields])
-    two = untold.mapInArrow(probe, probe_type).join(told.mapInArrow(index, index_type), "key").select(*[f"b_{c}" for c in fields], *[f"a_{c}" for c in fields])
+    one = spread_join(untold.mapInArrow(index, index_type), told.mapInArrow(probe, probe_type), "key", "a_core").select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields])
+    two = spread_join(told.mapInArrow(index, index_type), untold.mapInArrow(probe, probe_type), "key", "a_core").select(*[F.col(f"b_{c}").alias(f"a_{c}") for c in fields], *[F.col(f"a_{c}").alias(f"b_{c}") for c in fields])
     pairs = one.union(two).dropDuplicates(["a_core", "b_core"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,7 +55,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_organisations(spark: SparkSession, d: str) -> DataFrame:
-    return _organisations(spark, d).groupBy("org").agg(F.count("*").alias("n_spellings"), F.min("name").alias("name"))
+    """Membership: the organisation of every spelling."""
+    return _organisations(spark, d)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

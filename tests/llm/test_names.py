@@ -45,6 +45,48 @@ def test_pigeonhole_finds_every_pair(a, edits):
         assert set(names._index_keys(shorter, 2)) & set(names._probe_keys(longer, 2))
 
 
+PAIRS = [("Enron Corp", "Enrom Corporation"), ("Apple Inc", "Aple Inc"), ("Microsoft Corp", "Micorsoft Corp"), ("Luby's Inc", "Lubbys Inc"), ("Robert Smith", "Bob Smith"), ("Smith, Robert", "Smith Robert"), ("Jonathon Doe", "Jonathan Doe"), ("General Motors", "Genral Motors"), ("Kestrel Lanterns Inc", "Kestrel Lanterms")]
+
+
+def test_names_outside_the_vocabulary_and_of_persons(spark):
+    named = names.organisations(spark.createDataFrame([(n,) for p in PAIRS for n in p], "name string"))
+    org = {r.name: r.org for r in named.collect()}
+    assert all(org[a] == org[b] for a, b in PAIRS) and org["Smith, Robert"] == org["Bob Smith"]
+    assert len(set(org.values())) == len(PAIRS) - 1
+
+
+def generated(firms, seed):
+    """``{spelling: firm}`` of firms whose lines of business stand in no list."""
+    rng = random.Random(seed)
+    syllables = ["dra", "vek", "mol", "tun", "sil", "gor", "pax", "ren", "bul", "hef", "cor", "yam"]
+    lines = ["lanterns", "sprockets", "saddlery", "ballast", "orchards", "gaskets", "umbrellas", "kites"]
+    out = {}
+    roots = set()
+    while len(roots) < firms:
+        roots.add("".join(rng.sample(syllables, 3)).title())
+    for n, root in enumerate(sorted(roots)):
+        for line in rng.sample(lines, 2):  # two firms of one founding name
+            legal = rng.choice(["Inc", "Corp", "Ltd"])
+            firm = (root, line)
+            slip = lambda w: (k := rng.randrange(1, len(w) - 2)) and w[:k] + w[k + 1] + w[k] + w[k + 2 :]
+            for spelled in (f"{root} {line.title()} {legal}", f"{root.upper()} {line.upper()}", f"{slip(root)} {line.title()} {legal}.", f"{root} {slip(line)} {legal}", f"The {root} {line.title()}, {legal} (NQX: ABC)", f"{line.title()} {root} {legal}" if n % 2 else f"{root}-{line.title()} {legal}"):
+                out.setdefault(spelled, firm)
+    return out
+
+
+def test_recall_and_precision_on_lines_of_no_list(spark):
+    made = generated(60, 4)
+    named = names.organisations(spark.createDataFrame([(n,) for n in made], "name string"))
+    got = {(r.name_a, r.name_b) for r in names.spelling_pairs(named).collect()}
+    want = {(a, b) for a in made for b in made if a < b and made[a] == made[b]}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
+def test_learned_lines(spark):
+    df = spark.createDataFrame([(n,) for n in generated(60, 4)], "name string")
+    assert set(names.learned_lines(df)) - set(names.LINES) == {"lanterns", "sprockets", "saddlery", "ballast", "orchards", "gaskets", "umbrellas", "kites"}
+
+
 @pytest.mark.parametrize("name,line", [("X Bcast Sys Ag", "broadcasting"), ("Qqq Drlg Labs Inc", "drilling"), ("Qqq Ntwks Mfg", "networks"), ("Qqq Hoes Plc", "homes"), ("Qqq Enregy", "energy"), ("Qqqq Solar", "solar")])
 def test_lines(name, line):
     assert names.parse_name(name).line == line
