@@ -30,7 +30,7 @@ def frequent_lines(lines: DataFrame, source: str, document: str, text: str, min_
     seen = named.where(letters_only(F.col(text)) != "").select(F.col(source).alias("__source"), h1, h2, F.col(document).alias("__doc")).distinct()
     per_line = seen.groupBy("__source", "__h1", "__h2").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= min_documents)
     per_source = named.select(F.col(source).alias("__source"), F.col(document).alias("__doc")).distinct().groupBy("__source").agg(F.count("*").alias("n_source"))
-    return per_line.join(per_source, "__source").where(F.col("n_documents") >= F.col("n_source") * min_share)
+    return salted_lookup(per_line, per_source, ["__source"]).where(F.col("n_documents") >= F.col("n_source") * min_share)
 
 
 def repeated_lines(lines: DataFrame, source: str = "company", document: str = "call_id", position: str = "sentence_id", text: str = "sentence_text", min_documents: int = 4, min_share: float = 0.25) -> DataFrame:

@@ -73,11 +73,12 @@ def linked_groups(records: DataFrame) -> DataFrame:
     edges = salted_lookup(salted_lookup(both, c_root, ["c"]), i_root, ["i"]).select(F.col("c_root").alias("u"), F.col("i_root").alias("v"))
     roots = connected_components(edges)
     keys = c_root.select(F.concat(F.lit("c"), "c").alias("key"), F.col("c_root").alias("node")).union(i_root.select(F.concat(F.lit("i"), "i"), "i_root"))
-    keys = keys.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group_no"))
+    # a giant group has a great share of the keys: both look-ups are salted
+    keys = salted_lookup(keys, roots, ["node"], "left").select("key", F.coalesce("root", "node").alias("group_no"))
     key = F.coalesce(F.concat(F.lit("c"), "c"), F.concat(F.lit("i"), "i")).alias("key")
     # more than one record in the group: its least and greatest record differ
     spans = salted_lookup(pairs.select(key, "lo", "hi"), keys, ["key"]).groupBy("group_no").agg((F.min("lo") < F.max("hi")).alias("shared"))
-    keys = keys.join(spans, "group_no")
+    keys = salted_lookup(keys, spans, ["group_no"])
     out = salted_lookup(keyed.select("rec_no", key).distinct(), keys, ["key"], "left")
     return out.select("rec_no", F.coalesce("group_no", "rec_no").alias("group_no"), F.coalesce("shared", F.lit(False)).alias("shared"))
 

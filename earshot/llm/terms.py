@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earshot.session import cut
+
 #: Members up to which a container is a sorted array: 4096 x 2 bytes is the size of the bit set.
 ARRAY_LIMIT = 4096
 _BLANKS = re.compile(r"\s+")
@@ -193,6 +195,7 @@ def term_frequency(occurrences: DataFrame, term: str = "term", record: str = "re
     counts = merged.groupBy("term").agg(
         F.coalesce(pick(REC, "n_ids"), F.lit(0)).alias("n_occ"), F.coalesce(pick(CALL, "n_ids"), F.lit(0)).alias("n_calls"), F.coalesce(pick(REC, "n_rows"), F.lit(0)).alias("n_rows"), pick(ALL_CALLS, "n_ids").alias("n_all")
     )
+    counts = cut(counts)  # one row a term: the containers are merged once for the terms and for the total
     # the row of the null term holds the number of all documents: one row by construction
     total = counts.where("term is null").select(F.col("n_all").alias("total"))
     counts = counts.where("term is not null").drop("n_all").crossJoin(F.broadcast(total))

@@ -120,27 +120,47 @@ class Bpe:
                 ranks[k[ok], side[ok]] = self.table.find(m[k[ok], side[ok]], m[k[ok], side[ok] + 1])
         return out, out_n
 
-    def _long(self, ids: np.ndarray) -> np.ndarray:
-        """One very long word: each round merges every occurrence of the pair of the least rank, from the left."""
-        while len(ids) > 1:
-            ranks = self.table.find(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == NO_PAIR:
-                break
-            hit = np.flatnonzero(ranks == least)
-            run = np.r_[0, np.cumsum(np.diff(hit) != 1)]
-            first = hit[np.r_[True, np.diff(hit) != 1]]
-            hit = hit[(hit - first[run]) % 2 == 0]  # overlapping pairs: every second one
-            ids = ids.copy()
-            ids[hit] = least
-            ids = np.delete(ids, hit + 1)
-        return ids
+    def _long_rounds(self, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_rounds`` for long rows: a round merges all pairs of the row's least rank, from the left.
+
+        Every pair made by a merge has a greater rank than the merge itself, so
+        the leftmost such pairs would be merged one by one in the next rounds.
+        """
+        out, out_n = np.full(m.shape, -1, np.int64), np.zeros(len(m), np.int64)
+        row = np.arange(len(m))
+        while len(row):
+            ranks = np.where(m[:, 1:] >= 0, self.table.find(m[:, :-1].clip(0), m[:, 1:].clip(0)), NO_PAIR)
+            least = ranks.min(1, initial=NO_PAIR)
+            ended = least == NO_PAIR
+            if ended.any():
+                out[row[ended], : m.shape[1]] = m[ended]
+                out_n[row[ended]] = n[ended]
+                row, m, ranks, least = row[~ended], m[~ended], ranks[~ended], least[~ended]
+                if not len(row):
+                    break
+            hit, column = ranks == least[:, None], np.arange(ranks.shape[1])
+            # overlapping pairs: in a stretch of neighbours every second one from its first
+            first = np.maximum.accumulate(np.where(hit & ~np.pad(hit, ((0, 0), (1, 0)))[:, :-1], column, 0), 1)
+            hit &= (column - first) % 2 == 0
+            m = m.copy()
+            m[:, :-1] = np.where(hit, least[:, None], m[:, :-1])
+            # compaction: what stays of each row moves to its left end
+            stays = m >= 0
+            stays[:, 1:] &= ~hit
+            n = stays.sum(1)
+            k, c = np.nonzero(stays)
+            packed = np.full((len(m), int(n.max())), -1, np.int64)
+            packed[k, (np.cumsum(stays, 1) - 1)[k, c]] = m[k, c]
+            m = packed
+        return out, out_n
 
     def _learn(self, fresh: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         size = np.array([len(b) for b in raw], np.int64)
         ids: list[np.ndarray | None] = [None] * len(raw)
         bounds = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64]
+        while bounds[-1] < size.max():
+            bounds += [bounds[-2] * 2]
         for low, high in zip([0, *bounds], bounds):
             rows = np.flatnonzero((size > low) & (size <= high))
             for part in np.array_split(rows, max(1, len(rows) * high // 2_000_000)):
@@ -149,11 +169,9 @@ class Bpe:
                 n = size[part]
                 m = np.full((len(part), high), -1, np.int64)
                 m[np.arange(high)[None, :] < n[:, None]] = self.byte_id[np.frombuffer(b"".join(raw[i] for i in part), np.uint8)]
-                m, n = self._rounds(m, n)
+                m, n = self._rounds(m, n) if high <= 32 else self._long_rounds(m, n)
                 for i, r, k in zip(part.tolist(), m, n.tolist()):
                     ids[i] = r[:k]
-        for i in np.flatnonzero(size > bounds[-1]).tolist():
-            ids[i] = self._long(self.byte_id[np.frombuffer(raw[i], np.uint8)])
         lengths = np.array([len(x) for x in ids], np.int64)
         base = len(self.flat)
         self.known.update(zip(fresh, range(len(self.start), len(self.start) + len(fresh))))

@@ -72,3 +72,12 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id bigint, unfit int")
     assert [(r.score, r.unfit) for r in toxicity.score_documents(df, none).collect()] == [(0.0, False)]
     assert toxicity.score_documents(df.limit(0), none).count() == 0
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(k, "x" * (10 * k)) for k in range(1, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id bigint, unfit int")
+    whole = toxicity.training_sample(docs, labels, "doc_id", "text", "unfit", 100, 100)
+    some = toxicity.training_sample(docs, labels, "doc_id", "text", "unfit", 100, 100, max_characters=2000)
+    assert len(whole) == 39 and 0 < some["text"].str.len().sum() <= 2000 and set(some["k"]) < set(whole["k"])
+    assert len(toxicity.training_sample(docs, labels, "doc_id", "text", "unfit", 100, 100, max_characters=1)) == 0
