@@ -48,12 +48,23 @@ def sentence_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fixed.SENTENCE_PATTERN), F.lit(0))
 
 
+#: White space of any script, in a form that all engines read.
+SPACE = r"[\t\n\x0b\f\r\x{85}\p{Z}]"
+
+
 def protected_sentences(text: Column) -> Column:
     """Sentences split at marks before white space, six abbreviations protected, pieces under two characters dropped."""
-    for a, b in fixed.PROTECTED:
+    # the stand-in of a protected dot is a private character, put back only where an abbreviation was
+    hidden = {a: a.replace(".", "\ue000") for a in fixed.PROTECTED}
+    for a, b in hidden.items():
         text = F.replace(text, F.lit(a), F.lit(b))
-    parts = F.split(text, r"(?<=[。！？!?.])\s+")
-    return F.filter(F.transform(parts, lambda s: F.replace(F.trim(s), F.lit("~"), F.lit("."))), lambda s: F.length(s) >= 2)
+
+    def restored(s: Column) -> Column:
+        for a, b in hidden.items():
+            s = F.replace(s, F.lit(b), F.lit(a))
+        return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+
+    return F.filter(F.transform(F.split(text, f"(?<=[。！？!?.]){SPACE}+"), restored), lambda s: F.length(s) >= 2)
 
 
 def metric_tokens(text: Column) -> Column:

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import fixed
+from earshot.operators.skew import salted_lookup, spread_join
 
 
 def normal_name(name: Column) -> Column:
     """Upper case, letters and digits, two phrases shortened."""
-    s = F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), r"\((?:R|r)\)|®|™", ""))
+    s = F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), fixed.NAME_MARKS, ""))
     s = F.trim(F.regexp_replace(s, "[^A-Z0-9]+", " "))
-    s = F.regexp_replace(F.regexp_replace(s, r"\bREAL\s+ESTATE\b", "RE"), r"\bINVESTMENTS?\b", "INVS")
+    for pattern, short in fixed.NAME_PHRASES:
+        s = F.regexp_replace(s, pattern, short)
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
@@ -20,13 +22,8 @@ def stems(normal: Column) -> Column:
     """Tokens without legal and noise words, abbreviations spelled out, cut to six characters."""
     tokens = F.filter(F.split(normal, " "), lambda t: F.length(t) > 1)
 
-    def canonical(t: Column) -> Column:
-        out = F
-        for word, short in fixed.CANONICAL_TOKENS.items():
-            out = out.when(t.isin(short.split()), F.lit(word))
-        return out.otherwise(t)
-
-    kept = F.filter(F.transform(tokens, canonical), lambda t: ~t.isin(fixed.LEGAL_TOKENS + fixed.NOISE_TOKENS))
+    canonical = F.create_map(*[F.lit(x) for pair in fixed.CANONICAL_TOKENS.items() for x in pair])
+    kept = F.filter(F.transform(tokens, lambda t: F.coalesce(canonical[t], t)), lambda t: ~t.isin(fixed.LEGAL_TOKENS + fixed.NOISE_TOKENS))
     return F.transform(kept, lambda t: F.substring(t, 1, 6))
 
 
@@ -37,24 +34,37 @@ def named(rows: DataFrame, name: str) -> DataFrame:
     return s.select("name", "norm", F.array_join("stems", " ").alias("key"), F.array_join("stem_set", " ").alias("sorted_key"), "stem_set")
 
 
+def prefixes(named_rows: DataFrame, counts: DataFrame, name: str, least: float) -> DataFrame:
+    """``name, stem, set`` of the first ``n - ceil(least n) + 1`` stems of each name's n, the rarest first.
+
+    Two sets of Jaccard similarity ``least`` or more share a stem of these
+    prefixes, whichever way all stems are ordered.
+    """
+    each = named_rows.select(F.col("name"), F.explode("stem_set").alias("stem"))
+    ranked = salted_lookup(each, counts, ["stem"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "stem"))).alias("s"))
+    take = (F.size("s") - F.ceil(F.size("s") * F.lit(least) - 1e-9) + 1).cast("int")
+    return ranked.select(F.col("name").alias(name), F.explode(F.slice("s", F.lit(1), take)["stem"]).alias("stem"), F.array_sort(F.col("s")["stem"]).alias(f"{name}_set"))
+
+
 def match_levels(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     """``name, level, matched, score``: by normal name, then by sorted stems, then by Jaccard similarity of the stems.
 
     Each level sees only what the ones before left. Several right names of one
-    key give the smallest. The third level compares names that share their
-    first sorted stem, an equi-join, and keeps the most similar.
+    key give the smallest. The third level finds the most similar of all right
+    names, the smallest of ties, by a prefix filter: names meet on their rare
+    stems and every meeting is verified; no pair at or over ``least`` is lost.
     """
     one = right.where("norm <> ''").groupBy("norm").agg(F.min("name").alias("matched"))
     exact = left.join(one, "norm").select("name", F.lit(1).alias("level"), "matched", F.lit(1.0).alias("score"))
     rest = left.join(exact.select("name"), "name", "left_anti")
     two = right.where("sorted_key <> ''").groupBy("sorted_key").agg(F.min("name").alias("matched"))
     by_key = rest.join(two, "sorted_key").select("name", F.lit(2).alias("level"), "matched", F.lit(1.0).alias("score"))
-    rest = rest.join(by_key.select("name"), "name", "left_anti").where(F.size("stem_set") > 0)
-    block = F.get("stem_set", F.lit(0)).alias("block")
-    a = rest.select("name", "stem_set", block)
-    b = right.where(F.size("stem_set") > 0).select(F.col("name").alias("matched"), F.col("stem_set").alias("other"), block)
-    similarity = F.size(F.array_intersect("stem_set", "other")) / F.size(F.array_union("stem_set", "other"))
-    near = a.join(b, "block").withColumn("score", similarity).where(F.col("score") >= least)
+    rest = rest.join(by_key.select("name"), "name", "left_anti").where(F.size("stem_set") > 0).select("name", "stem_set")
+    other = right.where(F.size("stem_set") > 0).select("name", "stem_set")
+    counts = rest.union(other).select(F.explode("stem_set").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    near = spread_join(prefixes(other, counts, "matched", least), prefixes(rest, counts, "name", least), "stem", "matched")
+    similarity = F.size(F.array_intersect("name_set", "matched_set")) / F.size(F.array_union("name_set", "matched_set"))
+    near = near.withColumn("score", similarity).where(F.col("score") >= least)
     best = near.groupBy("name").agg(F.min_by(F.struct("matched", "score"), F.struct(-F.col("score"), F.col("matched"))).alias("m"))
     return exact.union(by_key).union(best.select("name", F.lit(3), "m.matched", "m.score"))
 

@@ -40,10 +40,22 @@ def role_normal_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "term_occ", "speaker").groupBy("speaker", roles.normal_role(F.col("speaker")).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT call_id, sentence_id, name FROM (SELECT DISTINCT call_id, sentence_id, line_id, regexp_extract(sentence_text, '^\s*([A-Z][\p{L}.''-]+(?:\s+[A-Z][\p{L}.''-]+){0,3})\s*(?::|\s[-–—]{1,2})\s', 1) AS name FROM call_lines) WHERE name <> ''")
+_BROKER = " OR ".join(f"contains(lower(t), '{b.lower()}')" for b in fixed.BROKERS)
+_PY = lambda p: p.replace("'", "''")
+_TITLE_ROLE = f"CASE WHEN r IS NOT NULL THEN r WHEN {_BROKER} THEN 'Analyst' END"
+
+
+@query(rf"""WITH l AS (SELECT DISTINCT call_id, sentence_id, line_id, trim(regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS s FROM (SELECT call_id, sentence_id, line_id, unnest([speaker, sentence_text]) AS x FROM call_lines)),
+m AS (SELECT *, regexp_extract(s, '{_PY(fixed.SWITCH_TITLED)}', 2) AS t, regexp_extract(s, '{_PY(fixed.SWITCH_TITLED)}', 1) AS n FROM l),
+c AS (SELECT *, {_LOOSE.replace(' END', ' END')} AS r FROM (SELECT *, regexp_replace(trim(lower(regexp_replace(t, '[^A-Za-z\s]', ' ', 'g')), ' '), '\s+', ' ', 'g') AS x FROM m)),
+k AS (SELECT call_id, sentence_id, CASE WHEN regexp_matches(s, '{fixed.SWITCH_OPERATOR}') THEN 'o' WHEN regexp_matches(s, '{fixed.SWITCH_QUESTION}') THEN 'q' WHEN regexp_matches(s, '{_PY(fixed.SWITCH_NAME)}') THEN 'n' WHEN regexp_matches(s, '{_PY(fixed.SWITCH_TITLED)}') THEN 't' END AS kind, s, n, {_TITLE_ROLE} AS tr FROM c)
+SELECT call_id, sentence_id, CASE kind WHEN 'n' THEN regexp_replace(s, '\s*:$', '') WHEN 't' THEN trim(n, ' ') END AS name, CASE kind WHEN 'o' THEN 'Operator' WHEN 'q' THEN 'Analyst' WHEN 't' THEN tr END AS role FROM k WHERE kind IS NOT NULL""")
 def speaker_switch_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "call_lines", "call_id", "sentence_id", "line_id", "sentence_text").distinct()
-    return lines.select("call_id", "sentence_id", roles.switch_line(F.col("sentence_text")).alias("name")).where("name is not null")
+    """Labels and texts are both read: either may be the line that switches."""
+    lines = table(spark, d, "call_lines", "call_id", "sentence_id", "line_id", "speaker", "sentence_text")
+    lines = lines.select("call_id", "sentence_id", "line_id", F.explode(F.array("speaker", "sentence_text")).alias("x"))
+    lines = lines.withColumn("x", F.trim(F.regexp_replace("x", f"^{T.SPACE}+|{T.SPACE}+$", ""))).distinct()
+    return lines.select("call_id", "sentence_id", roles.switch_line(F.col("x")).alias("s")).where("s is not null").select("call_id", "sentence_id", "s.name", "s.role")
 
 
 _ARGMAX = "CASE greatest(" + ", ".join(f"prob_{r}" for r in RISKS) + ") " + " ".join(f"WHEN prob_{r} THEN '{r}'" for r in RISKS) + " END"

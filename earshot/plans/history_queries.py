@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import fixed
 from earshot.operators import entities, importance, lexicon, terms as mining, tone
-from earshot.plans.base import RISKS, SQL, TONES, occurrences, sql_list, terms
+from earshot.plans.base import RISKS, SQL, TONES, occurrences, sentences, sql_list, terms
 from earshot.plans.model_queries import PM, UNITS, probs, units
 from earshot.session import cut
 from earshot.sources.tables import table
@@ -29,21 +29,23 @@ def query(sql: str | None = None):
 _COUNTS = SQL + ", tc AS (SELECT term, call_id AS doc_id, count(*) AS n FROM terms GROUP BY ALL)"
 _CORE = """, ca AS (SELECT t, count(*) AS f FROM (SELECT unnest(list_distinct(string_split(term, ' '))) AS t FROM (SELECT DISTINCT term FROM terms WHERE prob_risk_legal < 0.2)) WHERE length(t) >= 3 GROUP BY t),
 cb AS (SELECT t, count(*) AS r FROM (SELECT unnest(list_distinct(string_split(term, ' '))) AS t FROM (SELECT DISTINCT term FROM terms WHERE prob_risk_legal > 0.5)) WHERE length(t) >= 3 GROUP BY t),
-core AS (SELECT ca.t AS token FROM ca LEFT JOIN cb ON ca.t = cb.t WHERE f >= 5 AND f >= 2 * greatest(coalesce(r, 0), 1)), lexi AS (SELECT DISTINCT term, 1 AS in_lexicon FROM terms WHERE NOT contains(term, ' '))"""
+core AS (SELECT ca.t AS token FROM ca LEFT JOIN cb ON ca.t = cb.t WHERE f >= 5 AND f >= 2 * greatest(coalesce(r, 0), 1)), rcore AS (SELECT cb.t AS token FROM cb LEFT JOIN ca ON ca.t = cb.t WHERE r >= 5 AND r >= 2 * greatest(coalesce(f, 0), 1)),
+lexi AS (SELECT DISTINCT term, 1 AS in_lexicon FROM terms WHERE NOT contains(term, ' ')), risky AS (SELECT term, 1 AS in_risk FROM terms GROUP BY term HAVING avg(prob_risk_legal) > 0.45)"""
 _FEATS = _CORE + """, fe AS (SELECT term, sum(n)::BIGINT AS freq_total, count(*) AS n_docs, -ln(1 / count(*) + 1e-12) AS doc_entropy, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS doc_entropy_weighted FROM tc GROUP BY term),
-feats AS (SELECT fe.*, coalesce(in_lexicon, 0) AS in_lexicon, len([w FOR w IN string_split(fe.term, ' ') IF w IN (SELECT token FROM core)]) AS core_hits FROM fe LEFT JOIN lexi USING (term))"""
-_FEATS = _FEATS.replace("len([w FOR w IN string_split(fe.term, ' ') IF w IN (SELECT token FROM core)])", "len(list_filter(string_split(fe.term, ' '), lambda w: list_contains(cl, w)))").replace("LEFT JOIN lexi USING (term))", "LEFT JOIN lexi USING (term) CROSS JOIN (SELECT list(token) AS cl FROM core))")
+feats AS (SELECT fe.*, coalesce(in_lexicon, 0) AS in_lexicon, coalesce(in_risk, 0) AS in_risk, len(list_filter(list_distinct(string_split(fe.term, ' ')), lambda w: list_contains(cl, w))) AS core_hits, len(list_filter(list_distinct(string_split(fe.term, ' ')), lambda w: list_contains(rl, w))) AS risk_hits
+ FROM fe LEFT JOIN lexi USING (term) LEFT JOIN risky USING (term) CROSS JOIN (SELECT coalesce(list(token), []) AS cl FROM core) CROSS JOIN (SELECT coalesce(list(token), []) AS rl FROM rcore))"""
 
 
-def _core(spark: SparkSession, d: str) -> DataFrame:
+def _core(spark: SparkSession, d: str, side: str) -> DataFrame:
     t = terms(spark, d)
-    return lexicon.core_tokens(t.where("prob_risk_legal < 0.2").select("term").distinct(), t.where("prob_risk_legal > 0.5").select("term").distinct()).where("core = 'financial'")
+    return lexicon.core_tokens(t.where("prob_risk_legal < 0.2").select("term").distinct(), t.where("prob_risk_legal > 0.5").select("term").distinct()).where(F.col("core") == side)
 
 
 def _feats(spark: SparkSession, d: str) -> DataFrame:
     t = terms(spark, d)
     member = t.where(~F.contains("term", F.lit(" "))).select("term").distinct().withColumn("in_lexicon", F.lit(1))
-    return mining.features(mining.document_counts(t, "term", "call_id"), member, _core(spark, d))
+    risky = t.groupBy("term").agg(F.avg("prob_risk_legal").alias("p")).where("p > 0.45").select("term")
+    return mining.features(mining.document_counts(t, "term", "call_id"), member, _core(spark, d, "financial"), risky, _core(spark, d, "risk"))
 
 
 @query(_COUNTS + " SELECT * FROM tc")
@@ -51,24 +53,50 @@ def term_doc_counts(spark: SparkSession, d: str) -> DataFrame:
     return mining.document_counts(terms(spark, d), "term", "call_id")
 
 
-@query(_COUNTS + _FEATS + " SELECT term, freq_total, n_docs, round(doc_entropy, 6) + 0.0 AS doc_entropy, round(doc_entropy_weighted, 6) + 0.0 AS doc_entropy_weighted, in_lexicon, core_hits FROM feats")
+@query(_COUNTS + _FEATS + " SELECT term, freq_total, n_docs, round(doc_entropy, 6) + 0.0 AS doc_entropy, round(doc_entropy_weighted, 6) + 0.0 AS doc_entropy_weighted, in_lexicon, core_hits, in_risk, risk_hits FROM feats")
 def term_features(spark: SparkSession, d: str) -> DataFrame:
-    return _feats(spark, d).select("term", "freq_total", "n_docs", *[(F.round(c, 6) + 0.0).alias(c) for c in ("doc_entropy", "doc_entropy_weighted")], "in_lexicon", "core_hits")
+    return _feats(spark, d).select("term", "freq_total", "n_docs", *[(F.round(c, 6) + 0.0).alias(c) for c in ("doc_entropy", "doc_entropy_weighted")], "in_lexicon", "core_hits", "in_risk", "risk_hits")
 
 
-_STEM = " OR ".join(f"contains(w, '{s}')" for s in fixed.FINANCE_STEMS)
+_STEM = " OR ".join(f"contains(w, '{s}')" for s in fixed.FINANCE_STEMS if " " not in s)
 _BORING = f"""(len(c) = 0 OR (in_lexicon = 0 AND (NOT list_bool_or([{_STEM} FOR w IN c]) OR string_split(term, ' ')[1] IN ({sql_list(fixed.BORING_STARTS)})
  OR list_bool_and([w IN ({sql_list(fixed.TIME_WORDS)}) FOR w IN c]) OR list_bool_and([w IN ({sql_list(fixed.COMPARISON_WORDS + fixed.STOPWORDS)}) FOR w IN c]))))"""
 
 
-@query(_COUNTS + _FEATS + f""", k AS (SELECT *, (freq_total >= 30 AND n_docs >= 5 AND (core_hits > 0 OR in_lexicon = 1) AND NOT {_BORING}) AS keep FROM (SELECT *, [w FOR w IN string_split(term, ' ') IF w NOT IN ({sql_list(fixed.STOPWORDS + fixed.UNIT_WORDS)})] AS c FROM feats)),
-x AS (SELECT term, ln(1 + freq_total) AS a, ln(1 + n_docs) AS b, doc_entropy AS e, core_hits AS h, in_lexicon AS i FROM k WHERE keep OR NOT (SELECT bool_or(keep) FROM k)),
+@query(_COUNTS + _FEATS + f""", k AS (SELECT *, (in_risk = 0 AND risk_hits = 0 AND freq_total >= 30 AND n_docs >= 5 AND (core_hits > 0 OR in_lexicon = 1) AND NOT {_BORING}) AS keep FROM (SELECT *, [w FOR w IN string_split(term, ' ') IF w NOT IN ({sql_list(fixed.STOPWORDS + fixed.UNIT_WORDS)})] AS c FROM feats)),
+x AS (SELECT term, ln(1 + freq_total) AS a, ln(1 + n_docs) AS b, doc_entropy AS e, core_hits AS h, in_lexicon AS i, CAST(in_risk = 0 AND risk_hits = 0 AS INT) AS nr FROM k WHERE keep OR NOT (SELECT bool_or(keep) FROM k)),
 s AS (SELECT min(a) la, max(a) ha, min(b) lb, max(b) hb, min(e) le, max(e) he, min(h) lh, max(h) hh FROM x)
-SELECT term, round(0.25 * coalesce((a - la) / nullif(ha - la, 0), 0) + 0.20 * coalesce((b - lb) / nullif(hb - lb, 0), 0) + 0.10 * coalesce((e - le) / nullif(he - le, 0), 0) + 0.20 * coalesce((h - lh) / nullif(hh - lh, 0), 0) + 0.20 * i + 0.05, 6) AS score FROM x, s""")
+SELECT term, round(0.25 * coalesce((a - la) / nullif(ha - la, 0), 0) + 0.20 * coalesce((b - lb) / nullif(hb - lb, 0), 0) + 0.10 * coalesce((e - le) / nullif(he - le, 0), 0) + 0.20 * coalesce((h - lh) / nullif(hh - lh, 0), 0) + 0.20 * i + 0.05 * nr, 6) AS score FROM x, s""")
 def term_filter_score(spark: SparkSession, d: str) -> DataFrame:
     return mining.filter_and_score(_feats(spark, d)).select("term", F.round("score", 6).alias("score"))
 
 
+_MANUAL = f"SELECT unnest([{sql_list(fixed.ANCHOR_WORDS)}]) AS token"
+_ANCHOR = SQL + _CORE + f""", anchors AS (SELECT DISTINCT token FROM (SELECT token FROM core UNION ALL SELECT unnest(string_split(term, ' ')) FROM lexi UNION ALL {_MANUAL}) WHERE length(token) >= 3 AND token NOT IN ({sql_list(fixed.STOPWORDS + fixed.TIME_WORDS + fixed.UNIT_WORDS)}) AND ({_STEM.replace('(w,', '(token,')})),
+tok AS (SELECT regexp_extract_all(lower(sentence_text), '[a-z][a-z''-]*') AS t FROM sent),
+gr AS (SELECT array_to_string(t[i:i + n - 1], ' ') AS gram, count(*) AS n FROM tok, (SELECT unnest([1, 2, 3]) AS n), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i) GROUP BY 1),
+ju AS (SELECT *, [w FOR w IN string_split(gram, ' ') IF w NOT IN ({sql_list(fixed.STOPWORDS)})] AS p FROM gr),
+ok AS (SELECT gram, n FROM ju, (SELECT list(token) AS al FROM anchors) WHERE len(p) > 0 AND NOT list_bool_and([w IN ({sql_list(fixed.TIME_WORDS)}) FOR w IN p]) AND NOT list_bool_and([w IN ({sql_list(fixed.UNIT_WORDS)}) FOR w IN p]) AND NOT list_bool_and([w IN ({sql_list(fixed.COMPARISON_WORDS)}) FOR w IN p])
+ AND len(list_filter(p, lambda w: list_contains(al, w))) >= greatest(1, len(p) * 0.5))
+SELECT term, sum(n)::BIGINT AS freq FROM (SELECT array_to_string([w FOR w IN string_split(gram, ' ') IF w NOT IN ({sql_list(fixed.STOPWORDS + fixed.UNIT_WORDS)})], ' ') AS term, n FROM ok) WHERE term <> '' GROUP BY term"""
+
+
+@query(_ANCHOR)
+def anchored_terms(spark: SparkSession, d: str) -> DataFrame:
+    words = terms(spark, d).where(~F.contains("term", F.lit(" "))).select("term").distinct()
+    return mining.anchored_terms(sentences(spark, d), "sentence_text", mining.anchor_words(_core(spark, d, "financial"), words))
+
+
+@query("SELECT count(text) AS n_texts, coalesce(sum(len(regexp_extract_all(lower(text), '[a-z][a-z''-]*'))), 0)::BIGINT AS n_tokens FROM documents")
+def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return mining.corpus_tokens(table(spark, d, "documents", "text"), "text")
+
+
+@query(SQL + r" SELECT DISTINCT term FROM terms WHERE length(term) > 1 AND regexp_full_match(regexp_replace(term, '[-'']', '', 'g'), '\p{L}+')")
+def usable_words(spark: SparkSession, d: str) -> DataFrame:
+    return terms(spark, d).select("term").distinct().where(mining.usable_word(F.col("term")))
+
+
 # -- tone
 _STAGE = """, st AS (SELECT company, file_date, time_index, CASE WHEN time_index <= e THEN 'early' WHEN time_index <= m THEN 'mid' ELSE 'late' END AS stage FROM (SELECT *, greatest(e + 1, (2 * n) // 3 - 1) AS m FROM (
  SELECT *, greatest(0, n // 3 - 1) AS e FROM (SELECT company, file_date, row_number() OVER (PARTITION BY company ORDER BY file_date) - 1 AS time_index, count(*) OVER (PARTITION BY company) AS n FROM (SELECT DISTINCT company, file_date FROM terms WHERE file_date IS NOT NULL))))),
@@ -136,7 +164,7 @@ def unique_term_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # -- entities
 _NORM = lambda c: rf"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(upper(regexp_replace(coalesce({c}, ''), '\((?:R|r)\)|®|™', '', 'g')), '[^A-Z0-9]+', ' ', 'g')), '\bREAL\s+ESTATE\b', 'RE', 'g'), '\bINVESTMENTS?\b', 'INVS', 'g'), '\s+', ' ', 'g'))"
-_CANON = "CASE " + " ".join(f"WHEN t IN ({sql_list(v.split())}) THEN '{k}'" for k, v in fixed.CANONICAL_TOKENS.items()) + " ELSE t END"
+_CANON = "CASE " + " ".join(f"WHEN t IN ({sql_list([k])}) THEN '{v}'" for k, v in fixed.CANONICAL_TOKENS.items()) + " ELSE t END"
 _STEMS = lambda x: f"[t[1:6] FOR t IN [{_CANON} FOR t IN string_split({x}, ' ') IF length(t) > 1] IF t NOT IN ({sql_list(fixed.LEGAL_TOKENS + fixed.NOISE_TOKENS)})]"
 
 
@@ -148,7 +176,7 @@ _L = _named_sql("l", "SELECT DISTINCT company AS name FROM term_occ WHERE compan
 _R = _named_sql("r", "SELECT DISTINCT conm AS name FROM bankrupt_all WHERE conm IS NOT NULL")
 _MATCH = f"""WITH {_L}, {_R}, e AS (SELECT l.name, 1 AS level, m AS matched, 1.0::DOUBLE AS score FROM l JOIN (SELECT norm, min(name) AS m FROM r WHERE norm <> '' GROUP BY norm) USING (norm)),
 k AS (SELECT l.name, 2, m, 1.0::DOUBLE FROM l JOIN (SELECT sorted_key, min(name) AS m FROM r WHERE sorted_key <> '' GROUP BY sorted_key) USING (sorted_key) WHERE l.name NOT IN (SELECT name FROM e)),
-j AS (SELECT l.name, 3, r.name AS m, len(list_intersect(l.ss, r.ss)) / len(list_distinct(list_concat(l.ss, r.ss))) AS s FROM l JOIN r ON l.ss[1] = r.ss[1] WHERE l.name NOT IN (SELECT name FROM e) AND l.name NOT IN (SELECT name FROM k) AND s >= 0.6 QUALIFY row_number() OVER (PARTITION BY l.name ORDER BY s DESC, r.name) = 1),
+j AS (SELECT l.name, 3, r.name AS m, len(list_intersect(l.ss, r.ss)) / len(list_distinct(list_concat(l.ss, r.ss))) AS s FROM l JOIN r ON len(l.ss) > 0 AND len(r.ss) > 0 WHERE l.name NOT IN (SELECT name FROM e) AND l.name NOT IN (SELECT name FROM k) AND s >= 0.6 QUALIFY row_number() OVER (PARTITION BY l.name ORDER BY s DESC, r.name) = 1),
 mm AS (SELECT * FROM e UNION ALL SELECT * FROM k UNION ALL SELECT * FROM j)"""
 
 

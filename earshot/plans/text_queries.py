@@ -67,12 +67,23 @@ def header_paragraph_filter_all(spark: SparkSession, d: str, which: Column | Non
     return table(spark, d, "documents", "doc_id", "text").where(which).select("doc_id", T.drop_headers(F.col("text")).alias("text"))
 
 
-@query()
+_SPACE = T.SPACE.replace("\\x{85}", chr(0x85))
+_HIDE = "text"
+_SHOW = "s"
+for _a in fixed.PROTECTED:
+    _b = _a.replace(".", "\ue000")
+    _HIDE, _SHOW = f"replace({_HIDE}, '{_a}', '{_b}')", f"replace({_SHOW}, '{_b}', '{_a}')"
+
+
+@query(rf"SELECT doc_id, CAST(i - 1 AS INT) AS sent_idx, p[i] AS sentence FROM (SELECT doc_id, list_filter([regexp_replace({_SHOW}, '^{_SPACE}+|{_SPACE}+$', '', 'g') FOR s IN string_split(regexp_replace({_HIDE}, '([。！？!?.]){_SPACE}+', '\1' || chr(57345), 'g'), chr(57345))], lambda x: length(x) >= 2) AS p FROM documents), LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)")
 def abbrev_sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(T.protected_sentences(F.col("text"))).alias("sent_idx", "sentence"))
 
 
-@query()
+_SHORT = lambda x: rf"(len(regexp_extract_all(lower(translate({x}, chr(12288) || chr(160), '  ')), '[a-z0-9\-]+')) < 3 OR length(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g')) < 10)"
+
+
+@query(rf"SELECT doc_id, CAST(i - 1 AS INT) AS sent_idx, m[i] AS sentence FROM (SELECT doc_id, list_reduce([[x] FOR x IN regexp_extract_all(text, '{SENT}')], lambda a, b: CASE WHEN {_SHORT('b[1]')} OR {_SHORT('a[len(a)]')} THEN list_concat(a[1:len(a) - 1], [a[len(a)] || b[1]]) ELSE list_concat(a, b) END) AS m FROM documents WHERE len(regexp_extract_all(text, '{SENT}')) > 0), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i)")
 def short_sentence_merge(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(T.merge_short(T.sentence_spans(F.col("text")))).alias("sent_idx", "sentence"))
 

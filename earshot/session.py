@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,6 +20,7 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,14 +32,20 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``; make an own one only where none is set.
 
-    The own folder is for local sessions (tests, benchmark): a cluster names a
-    shared folder in its configuration, which is then left as it is.
+    The own folder is for local sessions only (tests, benchmark) and goes when
+    the program ends: a cluster names a shared folder in its configuration,
+    which is then left as it is; without one a cluster raises.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="earshot-checkpoint-"))
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="earshot-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
