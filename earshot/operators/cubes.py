@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.skew import at_ranks
+from earshot.session import cut
+
 from earshot.functions import fixed
 
 
@@ -96,21 +99,43 @@ def stratified_cap(rows: DataFrame, label: str, key: str, cap: int, seed: int =
 
 
 def quartiles(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """Add ``quartile`` 1..4 over the whole table, ties broken by the key (W10): bounds first, then a range per bound."""
-    # exact quartile bounds of (value, key) by counting values: value-level ranks, then keys within equal values
-    counts = rows.groupBy(value).agg(F.count("*").alias("__n"))
-    ranges = counts.withColumn("__bin", F.floor(F.col(value) * 1000))
-    bins = ranges.groupBy("__bin").agg(F.sum("__n").alias("__m"))
-    below = bins.select("__bin", F.coalesce(F.sum("__m").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__m").over(Window.partitionBy()).alias("__total"))
-    inside = Window.partitionBy("__bin").orderBy(value)
-    start = ranges.join(below, "__bin").select(value, "__total", (F.col("__base") + F.coalesce(F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__start"))
-    rank = F.col("__start") + F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1
-    out = rows.join(start, value).withColumn("__rank", rank)
-    big, small = F.pmod("__total", F.lit(4)), F.floor(F.col("__total") / 4)
-    # as ntile: the first n mod 4 buckets hold one row more
-    edge = big * (small + 1)
-    tile = F.when(F.col("__rank") < edge, F.floor(F.col("__rank") / (small + 1))).otherwise(big + F.floor((F.col("__rank") - edge) / F.greatest(small, F.lit(1))))
-    return out.withColumn("quartile", (tile + 1).cast("int")).drop("__rank", "__start", "__total")
+    """Add ``quartile`` 1..4 over the whole table, ties broken by the key, a number.
+
+    The three bounds, each a value and among its rows a key, are found by
+    counting; then every row is compared with them. No rank is given to rows,
+    so a value that a third of the rows share is no hot key.
+    """
+    narrow = cut(rows.where(F.col(value).isNotNull()).select(value, key))  # counted several times
+    total = narrow.agg(F.count("*").alias("n"))
+    # as ntile: the first n mod 4 quartiles hold one row more
+    starts = total.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), (F.lit(t) * F.floor(F.col("n") / 4) + F.least(F.lit(t), F.col("n") % 4)).alias("rank")) for t in (1, 2, 3)])).alias("s")).select("s.t", "s.rank")
+    at = starts.select("rank").distinct()
+    bound = at_ranks(narrow, at, value).collect()  # at most three rows
+    keys = None
+    for r in bound:
+        one = narrow.where(F.col(value) == F.lit(r[value]))
+        k = at_ranks(one, rows.sparkSession.createDataFrame([(r["into"],)], "rank bigint"), key).select(F.lit(r["rank"]).alias("rank"), F.lit(r[value]).alias("__v"), F.col(key).alias("__k"))
+        keys = k if keys is None else keys.union(k)
+    if keys is None:
+        return rows.withColumn("quartile", F.lit(1))
+    bounds = starts.join(keys, "rank").agg(F.collect_list(F.struct(F.col("__v").alias("v"), F.col("__k").alias("k"))).alias("__bounds"))
+    reached = F.filter("__bounds", lambda b: (F.col(value) > b["v"]) | ((F.col(value) == b["v"]) & (F.col(key) >= b["k"])))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("quartile", (F.size(reached) + 1).cast("int")).drop("__bounds")
+
+
+def fallback_labels(rows: DataFrame, distance: str, text: str, key: str) -> DataFrame:
+    """Add ``risk_bucket``: quartiles of the distance, if that has one value only quartiles of the text length, else halves by it.
+
+    Missing distances count 1. Two one-row facts decide which of the three holds.
+    """
+    filled = rows.withColumn("__d", F.coalesce(F.col(distance).cast("double"), F.lit(1.0))).withColumn("__l", F.coalesce(F.length(text), F.lit(0)).cast("double"))
+    spread = filled.agg((F.min("__d") < F.max("__d")).alias("d"), (F.min("__l") < F.max("__l")).alias("l")).first()
+    if spread["d"] or spread["l"]:
+        by, name = ("__d", "risk_q") if spread["d"] else ("__l", "len_q")
+        out = quartiles(filled, by, key).withColumn("risk_bucket", F.concat(F.lit(name), F.col("quartile").cast("string"))).drop("quartile")
+    else:
+        out = filled.withColumn("risk_bucket", F.lit("bin_a"))
+    return out.drop("__d", "__l")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,36 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, mos
     a = salted_lookup(left, hot, [key], "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("__parts")
     b = salted_lookup(right, hot, [key], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return a.join(b, [key, "__part"]).drop("__part")
+
+
+def at_ranks(rows: DataFrame, ranks: DataFrame, value: str, ranges: int = 4096, prefix: str = "") -> DataFrame:
+    """``rank, value, into``: the value of each 0-based rank in the order of ``value`` (a number, nulls left out), and how many rows of that value come before the rank.
+
+    Rows are counted in at most ``ranges`` equal ranges between the extremes,
+    then by value within the ranges that hold a rank; both counts combine on
+    the map side, so no task holds the rows of a range or of a hot value.
+    ``ranks`` has few rows (bigint column ``rank``).
+    """
+    v = F.col(value).cast("double")
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(v))
+    span = known.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    width = F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    ranged = known.crossJoin(F.broadcast(span)).withColumn("__range", F.coalesce(F.least(F.floor(width * ranges), F.lit(ranges - 1)), F.lit(0)))
+    n = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    above = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    n = n.select("__range", "__n", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    asked = F.broadcast(ranks).join(n, (F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__n"))).select("rank", "__range", "__before")
+    values = ranged.join(F.broadcast(asked.select("__range", "__before").distinct()), "__range").groupBy("__range", "__before", value).agg(F.count("*").alias("__n"))
+    inside = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("__at", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).drop("__before")
+    hit = values.join(F.broadcast(asked.select("rank", "__range")), "__range").where((F.col("rank") >= F.col("__at")) & (F.col("rank") < F.col("__at") + F.col("__n")))
+    return hit.select("rank", F.col(value), (F.col("rank") - F.col("__at")).alias("into"))
+
+
+def exact_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
+    """One row ``edge``: the q-quantile of a numeric column, linear between its neighbours; null of an empty table."""
+    total = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).agg(F.count("*").alias("n"))
+    place = total.where("n > 0").select(((F.col("n") - 1) * F.lit(q)).alias("p"))
+    ranks = place.select(F.explode(F.array_distinct(F.array(F.floor("p"), F.ceil("p")))).alias("rank"))
+    found = at_ranks(rows, ranks, value)
+    return found.crossJoin(F.broadcast(place)).agg((F.min(value) + (F.max(value) - F.min(value)) * (F.max("p") - F.floor(F.max("p")))).alias("edge"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from earshot.functions import fixed
-from earshot.functions.roles import role_scores
+from earshot.functions.roles import role_of_title, role_scores, switch_line
+from earshot.functions.text import SPACE
 
 
 def context_window(rows: DataFrame, call: str, order: list[str], text: str, role: Column, before: int = 2, after: int = 2) -> Column:
@@ -52,31 +54,43 @@ def degenerate_fix(role: Column, index: Column, n_roles: Column, n_rows: Column,
     return F.when((n_roles == 1) & (n_rows >= 10) & (F.pmod(index, F.lit(7)) == 0), turn).otherwise(role)
 
 
+def role_targets(n: int, priors: dict[str, float]) -> dict[str, int]:
+    """How many of n sentences each role should have: the rounded share, one at least, then one more or less in turn until they sum to n."""
+    target = {r: max(1, round(p * n)) for r, p in priors.items()}
+    turn = [r for r in fixed.ROLE_TURN if r in target]
+    left, k = n - sum(target.values()), 0
+    while left and (left > 0 or any(target[r] > 1 for r in turn)):
+        r = turn[k % len(turn)]
+        if left > 0:
+            target[r] += 1
+            left -= 1
+        elif target[r] > 1:
+            target[r] -= 1
+            left += 1
+        k += 1
+    return target
+
+
 def _rebalanced(roles: list[str], scores: np.ndarray, names: list[str], priors: dict[str, float]) -> list[str]:
-    """Greedy: a role over its quota gives its weakest sentences to the roles under theirs, best gain first."""
-    n = len(roles)
-    quota = {r: max(1, round(p * n)) for r, p in priors.items()}
-    column = {r: k for k, r in enumerate(names)}
-    out, held = list(roles), Counter(roles)
-    for short in sorted(quota):
-        need = quota[short] - held[short]
-        if need <= 0:
-            continue
-        gain = [(scores[i, column[r]] - scores[i, column[short]], i) for i, r in enumerate(out) if held[r] > quota[r] and scores[i, column[short]] > 0]
-        for _, i in sorted(gain):
-            if need and held[out[i]] > quota[out[i]]:
-                held[out[i]] -= 1
-                held[short] += 1
-                out[i] = short
-                need -= 1
+    """Roles that lack sentences take them, in the order of ``names``, from those of IR or of no listed role: best score first, then the earliest."""
+    held, target = Counter(roles), role_targets(len(roles), priors)
+    free = np.array([i for i, r in enumerate(roles) if r == "IR" or r not in priors], np.int64)
+    out = list(roles)
+    for k, r in enumerate(names):
+        need = max(0, target[r] - held[r])
+        best = free[np.argsort(-scores[free, k], kind="stable")[:need]]
+        for i in best.tolist():
+            out[i] = r
+        free = free[~np.isin(free, best)]
     return out
 
 
 def rebalance(rows: DataFrame, call: str, order: str, role: str, text: str, priors: dict[str, float] | None = None) -> DataFrame:
     """``call, order, role`` with each call's roles moved towards the shares of ``priors``.
 
-    The scores are columns; the reassignment is greedy and sequential within a
-    call, so sorted partitions are worked through call by call.
+    The scores are columns; the reassignment ranks the sentences of a call, so
+    sorted partitions are worked through call by call. Roles outside the
+    priors that aren't taken stay as they are.
     """
     priors = priors or fixed.ROLE_PRIORS
     names = list(priors)
@@ -86,7 +100,7 @@ def rebalance(rows: DataFrame, call: str, order: str, role: str, text: str, prio
 
     def done(batch: pa.Table) -> pa.RecordBatch:
         keys = batch.column(0).to_pylist()
-        given = [r if r in priors else "IR" for r in batch.column(2).to_pylist()]
+        given = batch.column(2).to_pylist()
         scores = np.column_stack([batch.column(3 + k).to_numpy() for k in range(len(names))]) if keys else np.zeros((0, len(names)))
         out, at = [], 0
         for k in range(1, len(keys) + 1):
@@ -154,9 +168,108 @@ def match_names(rows: DataFrame, name: str, roster: str, least: float = 0.75) ->
     return rows.mapInPandas(run, schema)
 
 
+def _squeeze(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def participants(text: Column) -> Column:
-    """Names and titles of a participants block as a map (X14): lines "Name - Title" or "Name, Title"."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda p: (F.length(p) <= 120) & p.rlike(r"^\s*[A-Z][\p{L}.'-]+(?:\s[A-Z][\p{L}.'-]*){1,3}(?:\s[-–—]\s|,\s).*(?i:officer|president|director|relations|analyst|head|chair)"))
-    pairs = F.transform(lines, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^\s*(.*?)(?:\s[-–—]\s|,\s)", 1)).alias("n"), F.trim(F.regexp_extract(p, r"(?:\s[-–—]\s|,\s)(.*)$", 1)).alias("t")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["n"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(pairs, lambda p: p["n"] == n), F.lit(0))["t"]))
+    """Participants of a transcript and their roles: ``array<struct<name, role>>``, names in lower case, the last mention counting.
+
+    A heading opens a block, the start of the talk closes it. In a block, a
+    line "Name - title" (dash or comma between spaces, reference numbers left
+    out) names a participant: the role is that of the title, else Analyst for
+    an analyst, a broker or in a block of analysts, else IR. One pass over the
+    lines carries the open block along.
+    """
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"), _squeeze), lambda p: p != "")
+    split = rf"{SPACE}+[-—,]{SPACE}+"
+
+    def entry(line: Column, block: Column) -> Column:
+        bare = F.regexp_replace(line, r"\s*\[\d+\]\s*$", "")
+        name, right = F.trim(F.lower(F.regexp_extract(bare, rf"(?s)^(.*?){split}", 1))), F.regexp_extract(bare, rf"(?s)^.*?{split}(.*)$", 1)
+        analyst = F.contains(F.lower(right), F.lit("analyst")) | F.contains(block, F.lit("analyst"))
+        role = F.coalesce(F.get(F.transform(F.array(right), role_of_title), 0), F.when(analyst, "Analyst"), F.lit("IR"))
+        return F.when(bare.rlike(split) & (name != ""), F.struct(name.alias("name"), role.alias("role")))
+
+    found = "array<struct<name: string, role: string>>"
+    start = F.struct(F.lit(None).cast("string").alias("block"), F.array().cast(found).alias("found"))
+
+    def step(acc: Column, line: Column) -> Column:
+        opens, closes = line.rlike(fixed.PARTICIPANTS_OPEN), line.rlike(fixed.PARTICIPANTS_CLOSE)
+        block = F.when(opens, F.lower(line)).when(~closes, acc["block"])
+        inside = acc["block"].isNotNull() & ~opens & ~closes
+        new = F.when(inside, entry(line, acc["block"]))
+        return F.struct(block.alias("block"), F.when(new.isNotNull(), F.concat(acc["found"], F.array(new))).otherwise(acc["found"]).alias("found"))
+
+    listed = F.aggregate(lines, start, step, lambda acc: acc["found"])
+    # the last mention of a name counts
+    return F.transform(F.array(listed), lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["name"] == p["name"])))[0]
+
+
+def _name_role(name: str, roster: dict[str, str]) -> str | None:
+    """Role of a name: as listed, else of the closest listed name, else Analyst for a broker."""
+    key = name.lower().strip()
+    if key in roster:
+        return roster[key]
+    near = difflib.get_close_matches(key, list(roster), n=1, cutoff=0.75) if roster else []
+    if near:
+        return roster[near[0]]
+    return "Analyst" if any(b.lower() in key for b in fixed.BROKERS) else None
+
+
+def transcript_roles(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, part_no, role, part``: the parts of each transcript with the role that speaks.
+
+    Lines that switch the speaker, rulings and headings are no text. A part
+    ends where the speaker switches, at a ruling, and at a line that ends a
+    sentence once the part holds 200 characters. Roles start as IR; a switch
+    line gives the role of its name, else that of its title; a line that
+    begins with "Q:" or "Operator:" switches too. Null texts give no part.
+    """
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"), _squeeze), lambda p: p != "")
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias(key), lines.alias("lines"), F.transform(participants(F.col(text)), lambda p: p).alias("who"))
+    rows = rows.select(key, "who", F.transform("lines", lambda x: F.struct(x.alias("line"), switch_line(x).alias("s"))).alias("lines"))
+    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, part_no int, role string, part string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, parts = [], []
+            for n, (who, lines) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = list(_parts({p["name"]: p["role"] for p in who or []}, lines))
+                at += [n] * len(found)
+                parts += [(k, *p) for k, p in enumerate(found)]
+            columns = [pa.array([p[j] for p in parts], t) for j, t in enumerate((pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], [key, "part_no", "role", "part"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _parts(roster: dict[str, str], lines: list[dict]) -> Iterator[tuple[str, str]]:
+    role, held, size = "IR", [], 0
+    for x in lines:
+        line, switch = x["line"], x["s"]
+        if any(re.match(p, line) for p in fixed.HEADING_LINES):
+            continue
+        new = role
+        ends = bool(re.match(r"^[-=]{3,}$", line))
+        if not ends and switch is not None and (switch["name"] is not None or switch["role"] is not None):
+            ends, new = True, (switch["name"] is not None and _name_role(switch["name"], roster)) or switch["role"] or role
+        elif not ends and (m := re.match(fixed.SWITCH_PREFIX, line)):
+            ends, new = True, "Operator" if m[1].lower() == "operator" else "Analyst"
+        if not ends:
+            held.append(line)
+            size += len(line)
+            ends = size > 200 and line[-1] in "。.!?"
+        if ends and held:
+            yield role, " ".join(held)
+            held, size = [], 0
+        role = new if new in fixed.ROLES else role
+    if held:
+        yield role, " ".join(held)
+
+
+def fill_near(value: Column, call: str, order: list[str], reach: int = 3) -> Column:
+    """The value, else the nearest known one within ``reach`` rows of the call, the row before winning."""
+    w = Window.partitionBy(call).orderBy(*order)
+    near = [f(value, d).over(w) for d in range(1, reach + 1) for f in (F.lag, F.lead)]
+    return F.coalesce(value, *near)

@@ -105,10 +105,29 @@ def speaker_name_match(spark: SparkSession, d: str) -> DataFrame:
     return speakers.match_names(named.join(full, "call_id", "left"), "name", "roster").select("call_id", "speaker", "matched", F.round("ratio", 6).alias("ratio"))
 
 
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Each call of the caption lines as a transcript: a participants block of its labels, then its lines behind their speakers."""
+    lines = table(spark, d, "call_lines", "call_id", "sentence_id", "line_id", "speaker", "sentence_text").where("call_id is not null").dropDuplicates(["call_id", "sentence_id", "line_id"])
+    said = F.concat(F.coalesce(F.concat("speaker", F.lit("\n")), F.lit("")), F.coalesce("sentence_text", F.lit("")))
+    whole = lines.groupBy("call_id").agg(F.array_sort(F.collect_set("speaker")).alias("who"), F.array_sort(F.collect_list(F.struct("sentence_id", "line_id", said.alias("x")))).alias("lines"))
+    return whole.select("call_id", F.concat(F.lit("Corporate Participants\n"), F.array_join("who", "\n"), F.lit("\nPresentation\n"), F.array_join(F.col("lines.x"), "\n")).alias("text"))
+
+
 @query()
 def participants_header(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents", "doc_id", "text").select("doc_id", speakers.participants(F.col("text")).alias("m")).where(F.size("m") > 0)
-    return found.select("doc_id", F.explode("m").alias("name", "title"))
+    found = _transcripts(spark, d).select("call_id", F.explode(speakers.participants(F.col("text"))).alias("p"))
+    return found.select("call_id", "p.name", "p.role")
+
+
+@query()
+def transcript_roles(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.transcript_roles(_transcripts(spark, d), "call_id", "text")
+
+
+@query(SQL + ", v AS (SELECT call_id, sentence_id, CASE WHEN role <> 'Unknown' THEN role END AS r FROM sent) SELECT call_id, sentence_id, coalesce(r, lag(r, 1) OVER w, lead(r, 1) OVER w, lag(r, 2) OVER w, lead(r, 2) OVER w, lag(r, 3) OVER w, lead(r, 3) OVER w, 'IR') AS role FROM v WINDOW w AS (PARTITION BY call_id ORDER BY sentence_id)")
+def role_fill_near(spark: SparkSession, d: str) -> DataFrame:
+    near = speakers.fill_near(F.when(F.col("role") != "Unknown", F.col("role")), "call_id", ["sentence_id"])
+    return sentences(spark, d).select("call_id", "sentence_id", F.coalesce(near, F.lit("IR")).alias("role"))
 
 
 # -- cubes

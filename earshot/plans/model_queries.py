@@ -122,13 +122,13 @@ def minmax_compare(spark: SparkSession, d: str) -> DataFrame:
 _CONF = "SELECT y_true, greatest(prob_z1, prob_z2, prob_z3) AS conf FROM preds_val_ens WHERE y_true IS NOT NULL"
 
 
-@query(f"""WITH f AS (SELECT y_true, round(conf, 4) AS v FROM ({_CONF})), m AS (SELECT y_true, count(*) AS total, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM f GROUP BY y_true),
+@query(f"""WITH f AS (SELECT y_true, conf AS v FROM ({_CONF})), m AS (SELECT y_true, count(*) AS total, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM f GROUP BY y_true),
 g AS (SELECT *, CASE WHEN iqr > 1e-12 THEN least(sd, iqr / 1.349) ELSE sd END AS sigma FROM m),
 b AS (SELECT *, CASE WHEN total < 2 THEN 0.1 ELSE greatest(0.9 * CASE WHEN sigma <= 1e-12 THEN CASE WHEN sd > 1e-12 THEN sd ELSE 0.1 END ELSE sigma END * pow(total, -0.2), 1e-3) END AS bw FROM g)
 SELECT y_true, round(i / 399, 9) AS x, round(sum(exp(-0.5 * pow((i / 399 - v) / bw, 2))) / (any_value(total) * any_value(bw) * sqrt(2 * pi())), 6) AS density FROM f JOIN b USING (y_true), range(0, 400) t(i) GROUP BY y_true, i""")
 def confidence_kde(spark: SparkSession, d: str) -> DataFrame:
     conf = _preds(spark, d).where("y_true is not null").select("y_true", F.greatest("prob_z1", "prob_z2", "prob_z3").alias("conf"))
-    return metrics.kde(conf, "y_true", "conf").select("y_true", F.round("x", 9).alias("x"), F.round("density", 6).alias("density"))
+    return metrics.kde(conf, "y_true", "conf", digits=None).select("y_true", F.round("x", 9).alias("x"), F.round("density", 6).alias("density"))
 
 
 @query(f"SELECT y_true, round(quantile_cont(conf, 0.25), 9) AS q25, round(quantile_cont(conf, 0.5), 9) AS q50, round(quantile_cont(conf, 0.75), 9) AS q75 FROM ({_CONF}) GROUP BY y_true")

@@ -36,8 +36,8 @@ def test_lookup_reindex_union_type(spark):
 
 
 def test_terms_fall_back_to_all(spark):
-    feats = spark.createDataFrame([("cash flow", 3, 2, 0.7, 0, 1), ("the year", 2, 1, 0.0, 0, 0)], "term string, freq_total int, n_docs int, doc_entropy double, in_lexicon int, core_hits int")
-    assert terms.filter_and_score(feats, 30, 5).count() == 2
+    feats = spark.createDataFrame([("cash flow", 3, 2, 0.7, 0, 1, 0, 0), ("cash breach", 3, 2, 0.7, 0, 1, 1, 0), ("cash default", 3, 2, 0.7, 0, 1, 0, 1), ("the year", 2, 1, 0.0, 0, 0, 0, 0)], "term string, freq_total int, n_docs int, doc_entropy double, in_lexicon int, core_hits int, in_risk int, risk_hits int")
+    assert terms.filter_and_score(feats, 30, 5).count() == 4
     assert [r.term for r in terms.filter_and_score(feats, 2, 1).collect()] == ["cash flow"]
 
 

@@ -39,6 +39,7 @@ def test_headers(spark):
 
 
 def test_protected(spark):
+    assert one(spark, "It was ~5% e.g. ~e~g~ this \ue000 year.", T.protected_sentences) == ["It was ~5% e.g. ~e~g~ this \ue000 year."]
     assert one(spark, "Mr. X of the U.S. won, e.g. twice. Fine! a", T.protected_sentences) == ["Mr. X of the U.S. won, e.g. twice.", "Fine!"]
 
 
