@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.common import split_coefficients
+
 
 def unit_logits(fijz: DataFrame, beta: DataFrame, gamma: DataFrame) -> DataFrame:
     """``role, risk_bucket, z_label, unit_logit`` = beta + sum over k of gamma(z, k) f(k) (M7).
@@ -40,6 +42,23 @@ def top_k(rows: DataFrame, company: str, value: str, k: int = 10) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def star(probs: DataFrame, company: str) -> DataFrame:
+    """``company, z_star``: the type of the largest probability, the smallest of ties."""
+    return probs.where("p is not null").groupBy(company).agg(F.min_by("z_label", F.struct(-F.col("p"), F.col("z_label"))).alias("z_star"))
+
+
+def at_star(rows: DataFrame, stars: DataFrame, company: str) -> DataFrame:
+    """The rows of each company's own type."""
+    return rows.join(stars, company).where(F.col("z_label") == F.col("z_star")).drop("z_star")
+
+
+def coefficient_units(fijz: DataFrame, coefs: DataFrame) -> DataFrame:
+    """Unit logits from the coefficients of a fitted surrogate: those of ``role|cause`` and of ``prior_z1..3``."""
+    beta, gamma = split_coefficients(coefs)
+    wide = gamma.groupBy("z_label").agg(*[F.max(F.when(F.col("k") == k, F.col("coef"))).alias(f"g{k}") for k in (1, 2, 3)])
+    return unit_logits(fijz, beta, wide)
+
+
 def roll_ups(rows: DataFrame, company: str) -> DataFrame:
     """Sums by (company, role, type) and by (company, cause, type) in one scan."""
     out = rows.groupingSets([[company, "role", "z_label"], [company, "risk_bucket", "z_label"]], company, "role", "risk_bucket", "z_label")

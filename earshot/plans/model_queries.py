@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import fixed
-from earshot.operators import attribution, cubes, metrics, models
+from earshot.operators import attribution, common, cubes, metrics, models
 from earshot.plans.base import RISKS, SQL, sentences
-from earshot.plans.cube_queries import FIJZ, SHARE, fijz, share, wide
+from earshot.plans.cube_queries import FIJZ, PAIRS, SHARE, fijz, share
 from earshot.session import cut
 from earshot.sources.tables import table
 
@@ -140,38 +142,59 @@ def confidence_quartiles(spark: SparkSession, d: str) -> DataFrame:
 # -- models (no SQL: fitted)
 @query()
 def risk_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Cause of each sentence told from its text; sentences far from risk weigh less in the fit."""
     s = sentences(spark, d)
     best = F.greatest(*[f"prob_{r}" for r in RISKS])
     label = F.when(F.col(f"prob_{RISKS[0]}") == best, 0.0).when(F.col(f"prob_{RISKS[1]}") == best, 1.0).when(F.col(f"prob_{RISKS[2]}") == best, 2.0).otherwise(3.0)
-    rows = s.select("call_id", "sentence_id", F.concat_ws("-", "call_id", "sentence_id").alias("key"), F.coalesce("sentence_text", F.lit("")).alias("sentence_text"), label.alias("label"))
-    model = models.text_classifier(rows, "sentence_text", "label", "key", cap=2000)
+    weight = common.sample_weight(common.risk_distance(None, [], [F.col("llm_pred_prob")]))
+    rows = s.select("call_id", "sentence_id", F.concat_ws("-", "call_id", "sentence_id").alias("key"), F.coalesce("sentence_text", F.lit("")).alias("sentence_text"), label.alias("label"), weight.alias("weight"))
+    model = models.text_classifier(rows, "sentence_text", "label", "key", cap=2000, weight="weight")
     return models.apply_classifier(model, rows.select("call_id", "sentence_id", "sentence_text"), 4)
 
 
-def _training(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    f = wide(spark, d)
-    columns = [c for c in f.columns if c != "company"]
-    y = cubes.majority_label(sentences(spark, d), "company", "z_label").select("company", (F.col("z_label") - 1).cast("double").alias("label"))
-    return models.assembled(f.join(y, "company"), columns), columns
+def _outcome(spark: SparkSession, d: str) -> models.Outcome:
+    """Shares by role and cause and the priors of each company against its majority type."""
+    s = share(spark, d)
+    pairs = cubes.pivot_features(s, "company", PAIRS).join(cubes.prior_features(s, fijz(spark, d), "company"), "company")
+    y = cubes.majority_label(sentences(spark, d), "company", "z_label").select("company", F.col("z_label").alias("y_true"))
+    return models.outcome_model(pairs.join(y, "company"), [*PAIRS, *[f"prior_z{z}" for z in (1, 2, 3)]], "company", "y_true")
 
 
 @query()
 def tree_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = _training(spark, d)
-    rows = cut(rows)
-    a, b = models.forest(rows, "label"), models.boosted(rows, "label")
-    first = a.transform(rows).select("company", (F.col("prediction") + 1).cast("int").alias("forest"))
-    second = b.transform(rows).select("company", (F.col("prediction") + 1).cast("int").alias("boosted"))
-    return first.join(second, "company")
+    return _outcome(spark, d).predictions
 
 
 @query()
 def surrogate_logit(spark: SparkSession, d: str) -> DataFrame:
-    rows, columns = _training(spark, d)
-    return models.coefficients(models.surrogate(rows, "label"), columns, [1, 2, 3], spark)
+    return _outcome(spark, d).coefficients
+
+
+@query()
+def outcome_report(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of the fitted chain by split: the ensemble's arg-max and thresholded classes, and how far the surrogate agrees with it."""
+    p = _outcome(spark, d).predictions
+    parts = []
+    for split in ("train", "validation"):
+        rows = p.where(F.col("split") == split)
+        for kind, c in (("largest", "z_star"), ("thresholds", "y_pred"), ("surrogate", "y_surrogate")):
+            parts.append(metrics.report(metrics.confusion(rows, "z_star" if kind == "surrogate" else "y_true", c)).select(F.lit(split).alias("split"), F.lit(kind).alias("rule"), "n", "accuracy", "macro_f1"))
+    return reduce(lambda a, b: a.union(b), parts)
 
 
-# -- attribution: coefficients stand in for a fitted surrogate
+@query()
+def fitted_prob_contrib(spark: SparkSession, d: str) -> DataFrame:
+    """Features, ensemble, surrogate, coefficients, contributions in one chain: the ten largest of each company at the type decided for it."""
+    o = _outcome(spark, d)
+    units = attribution.coefficient_units(cut(fijz(spark, d)), o.coefficients)
+    c = attribution.logit_contributions(share(spark, d), units, "company")
+    p = o.predictions.select("company", "z_star", *[F.col(f"lin_z{z}").alias(str(z)) for z in (1, 2, 3)])
+    long = p.unpivot(["company", "z_star"], ["1", "2", "3"], "z_label", "p").withColumn("z_label", F.col("z_label").cast("int"))
+    c = attribution.prob_contributions(c, long.drop("z_star"), "company")
+    return attribution.top_k(attribution.at_star(c, p.select("company", "z_star"), "company"), "company", "c_prob").select("company", "role", "risk_bucket", "z_label", "c_logit", "c_prob", "rank")
+
+
+# -- attribution over given coefficients, so that SQL can follow; the fitted ones go through the same operators in fitted_prob_contrib
 def _beta(f: DataFrame) -> DataFrame:
     return f.where("z_label is not null").select("role", "risk_bucket", "z_label", (F.col("f_ijz") / 10 + F.col("z_label") / 100).alias("coef"))
 
@@ -229,6 +252,22 @@ def topk_per_company(spark: SparkSession, d: str) -> DataFrame:
     return attribution.top_k(rows, "company_id", "v").select("company_id", "role", "risk_bucket", "z_label", "rank")
 
 
+_STAR = ", star AS (SELECT company_id, z_label AS z_star FROM pm WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY p DESC, z_label) = 1)"
+
+
+@query(SQL + f", {UNITS}, {PROB}{_STAR}, r AS (SELECT c.*, round(c_prob, 9) AS v FROM c JOIN star s ON c.company_id = s.company_id AND c.z_label = s.z_star) SELECT company_id, role, risk_bucket, z_label, CAST(row_number() OVER (PARTITION BY company_id ORDER BY abs(v) DESC, role, risk_bucket, z_label) AS INT) AS rank FROM r QUALIFY rank <= 10")
+def topk_star(spark: SparkSession, d: str) -> DataFrame:
+    rows = attribution.at_star(prob_contributions(spark, d), attribution.star(probs(spark, d), "company_id"), "company_id").withColumn("v", F.round("c_prob", 9))
+    return attribution.top_k(rows, "company_id", "v").select("company_id", "role", "risk_bucket", "z_label", "rank")
+
+
+@query(SQL + f", {UNITS}, {CONTRIB}, w AS (SELECT z_label, company_id, role || '|' || risk_bucket AS winner FROM cl QUALIFY row_number() OVER (PARTITION BY z_label, company_id ORDER BY round(a_mij, 12) DESC, role || '|' || risk_bucket) = 1) SELECT z_label, winner, count(*) AS n, sum(count(*)) OVER (PARTITION BY z_label)::BIGINT AS total FROM w GROUP BY z_label, winner")
+def winner_share_amij(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that win on the share itself instead of its contribution."""
+    rows = contributions(spark, d).select("z_label", "company_id", F.concat_ws("|", "role", "risk_bucket").alias("pair"), "a_mij")
+    return attribution.winner_share(attribution.winners(rows, "company_id", "pair", "a_mij")).select("z_label", "winner", "n", "total")
+
+
 @query(SQL + f", {UNITS}, {PROB} SELECT company_id, role, risk_bucket, z_label, round(sum(c_logit), 6) + 0.0 AS c_logit, round(sum(c_prob), 6) + 0.0 AS c_prob FROM c GROUP BY GROUPING SETS ((company_id, role, z_label), (company_id, risk_bucket, z_label))")
 def agg_role_risk(spark: SparkSession, d: str) -> DataFrame:
     return attribution.roll_ups(prob_contributions(spark, d), "company_id").select("company_id", "role", "risk_bucket", "z_label", (F.round("c_logit", 6) + 0.0).alias("c_logit"), (F.round("c_prob", 6) + 0.0).alias("c_prob"))
