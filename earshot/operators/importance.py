@@ -11,13 +11,13 @@ from earshot.operators.tone import z_scores
 def term_importance(scored: DataFrame, units: DataFrame, probs: DataFrame) -> DataFrame:
     """Add ``imp_early, imp_late, imp_delta = p (1 - p) unit_logit n_sent`` and their difference (M8, J19, J20); what is missing counts 0.
 
-    ``scored`` needs company_id, z_label, main_role, cause_early, cause_late,
-    early_n_sent, late_n_sent. Units are bounded by roles x causes x types.
+    ``scored`` needs company_id, z_label, role_early, role_late, cause_early,
+    cause_late, early_n_sent, late_n_sent. Units are bounded by roles x causes x types.
     """
     out = scored
     for stage in ("early", "late"):
-        u = units.select(F.col("role").alias("main_role"), F.col("risk_bucket").alias(f"cause_{stage}"), "z_label", F.col("unit_logit").alias(f"u_{stage}"))
-        out = out.join(F.broadcast(u), ["main_role", f"cause_{stage}", "z_label"], "left")
+        u = units.select(F.col("role").alias(f"role_{stage}"), F.col("risk_bucket").alias(f"cause_{stage}"), "z_label", F.col("unit_logit").alias(f"u_{stage}"))
+        out = out.join(F.broadcast(u), [f"role_{stage}", f"cause_{stage}", "z_label"], "left")
     out = out.join(probs, ["company_id", "z_label"], "left")
     p = F.coalesce("p", F.lit(0.0))
     value = lambda s: p * (1 - p) * F.coalesce(f"u_{s}", F.lit(0.0)) * F.coalesce(f"{s}_n_sent", F.lit(0))
@@ -30,10 +30,10 @@ def smallest_mode(column: str) -> Column:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row per company, term and type: means, modes, sums."""
+    """One row per company, term and type: means, modes, sums, the first early and the last late peak."""
     means = [F.avg(c).alias(c) for c in ("imp_early", "imp_late", "imp_delta", "term_score")]
-    modes = [smallest_mode(c).alias(f"mode_{c}") for c in ("main_role", "cause_early", "cause_late")]
-    return rows.groupBy("company", "term", "z_label").agg(*means, *modes, F.count("*").alias("n_rows"), F.min("event_date").alias("event_date"), F.sum("early_n_sent").alias("early_n_sent"), F.sum("late_n_sent").alias("late_n_sent"))
+    modes = [smallest_mode(c).alias(f"mode_{c}") for c in ("role_early", "role_late", "cause_early", "cause_late")]
+    return rows.groupBy("company", "term", "z_label").agg(*means, *modes, F.count("*").alias("n_rows"), F.min("event_date").alias("event_date"), F.min("time_early").alias("time_early"), F.max("time_late").alias("time_late"), F.sum("early_n_sent").alias("early_n_sent"), F.sum("late_n_sent").alias("late_n_sent"))
 
 
 def clean(rows: DataFrame, strict: bool = False) -> DataFrame:

@@ -225,36 +225,46 @@ def days_to_event(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- importance
+_MODES = ("role_early", "role_late", "cause_early", "cause_late")
 _ALL = SQL.rstrip() + _SCORE + f", {UNITS}, {PM}, " + _MATCH.replace("WITH ", "", 1) + _EVENT + """, zs AS (SELECT DISTINCT company, z_label FROM occ WHERE company IS NOT NULL AND z_label IS NOT NULL),
-im AS (SELECT s.company, s.term, z.z_label, s.main_role, s.cause_early, s.cause_late, s.term_score, s.early_n_sent, s.late_n_sent, e.event_date,
+pk AS (SELECT company, term, max(peak) FILTER (stage = 'early') AS time_early, max(peak) FILTER (stage = 'late') AS time_late FROM (SELECT company, term, stage, file_date AS peak FROM (SELECT company, term, stage, file_date, count(*) AS n FROM ts GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY company, term, stage ORDER BY n DESC, file_date) = 1) GROUP BY ALL),
+firm AS (SELECT DISTINCT company, trim(split_part(company, ',', 1)) AS company_id FROM sco),
+im AS (SELECT f.company_id AS company, s.term, z.z_label, s.main_role AS role_early, s.main_role AS role_late, s.cause_early, s.cause_late, s.term_score, s.early_n_sent, s.late_n_sent, e.event_date, time_early, time_late,
  coalesce(p, 0) * (1 - coalesce(p, 0)) * coalesce(ue.unit_logit, 0) * s.early_n_sent AS imp_early, coalesce(p, 0) * (1 - coalesce(p, 0)) * coalesce(ul.unit_logit, 0) * s.late_n_sent AS imp_late
- FROM sco s JOIN zs z USING (company) LEFT JOIN ev e USING (company) LEFT JOIN units ue ON ue.role = s.main_role AND ue.risk_bucket = s.cause_early AND ue.z_label = z.z_label LEFT JOIN units ul ON ul.role = s.main_role AND ul.risk_bucket = s.cause_late AND ul.z_label = z.z_label
+ FROM sco s JOIN zs z USING (company) JOIN firm f USING (company) LEFT JOIN pk ON pk.company = s.company AND pk.term = s.term LEFT JOIN ev e USING (company) LEFT JOIN units ue ON ue.role = s.main_role AND ue.risk_bucket = s.cause_early AND ue.z_label = z.z_label LEFT JOIN units ul ON ul.role = s.main_role AND ul.risk_bucket = s.cause_late AND ul.z_label = z.z_label
  LEFT JOIN pm ON pm.company_id = trim(split_part(s.company, ',', 1)) AND pm.z_label = z.z_label),
 imp AS (SELECT *, imp_late - imp_early AS imp_delta FROM im),
-su AS (SELECT company, term, z_label, avg(imp_early) AS imp_early, avg(imp_late) AS imp_late, avg(imp_delta) AS imp_delta, avg(term_score) AS term_score, coalesce(min(main_role), 'UNKNOWN') AS mode_main_role, coalesce(min(cause_early), 'UNKNOWN') AS mode_cause_early, coalesce(min(cause_late), 'UNKNOWN') AS mode_cause_late, count(*) AS n_rows, min(event_date) AS event_date, sum(early_n_sent)::BIGINT AS early_n_sent, sum(late_n_sent)::BIGINT AS late_n_sent FROM imp GROUP BY company, term, z_label)"""
+su0 AS (SELECT company, term, z_label, avg(imp_early) AS imp_early, avg(imp_late) AS imp_late, avg(imp_delta) AS imp_delta, avg(term_score) AS term_score, """ + ", ".join(f"list({c}) AS l_{c}" for c in _MODES) + """, count(*) AS n_rows, min(event_date) AS event_date, min(time_early) AS time_early, max(time_late) AS time_late, sum(early_n_sent)::BIGINT AS early_n_sent, sum(late_n_sent)::BIGINT AS late_n_sent FROM imp GROUP BY company, term, z_label),
+su AS (SELECT *, """ + ", ".join(f"coalesce((SELECT v FROM (SELECT unnest(l_{c}) AS v) WHERE v IS NOT NULL GROUP BY v ORDER BY count(*) DESC, v LIMIT 1), 'UNKNOWN') AS mode_{c}" for c in _MODES) + """ FROM su0)"""
 _IMPS = ("imp_early", "imp_late", "imp_delta")
 _R6 = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _IMPS)
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of one key are one company from here on, so its groups hold several rows."""
     types = occurrences(spark, d).where("company is not null and z_label is not null").select("company", "z_label").distinct()
-    scored = _scored(spark, d).join(types, "company").withColumn("company_id", F.trim(F.substring_index("company", ",", 1)))
-    return importance.term_importance(scored, units(spark, d), probs(spark, d)).join(_events(spark, d), "company", "left")
+    staged = cut(_staged(spark, d).select("company", "term", "role", "stage", "file_date", *TONES))  # the one wide relation, written once
+    w = cut(tone.windows(staged, TONES))
+    at = tone.peak_dates(staged).groupBy("company", "term").agg(*[F.max(F.when(F.col("stage") == s, F.col("peak"))).alias(f"time_{s}") for s in ("early", "late")])
+    scored = tone.scores(tone.shifts(w, TONES, RISKS), w).join(at, ["company", "term"], "left")
+    scored = scored.join(types, "company").join(_events(spark, d), "company", "left")
+    scored = scored.withColumns({"company_id": F.trim(F.substring_index("company", ",", 1)), "role_early": F.col("main_role"), "role_late": F.col("main_role")})
+    return importance.term_importance(scored, units(spark, d), probs(spark, d)).drop("company").withColumnRenamed("company_id", "company")
 
 
 def _r6(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, *[(F.round(c, 6) + 0.0).alias(c) for c in _IMPS])
 
 
-@query(_ALL + f" SELECT company, term, z_label, {_R6} FROM imp")
+@query(_ALL + f" SELECT company, term, z_label, role_early, role_late, {_R6} FROM imp")
 def term_importance(spark: SparkSession, d: str) -> DataFrame:
-    return _r6(_importance(spark, d), "company", "term", "z_label")
+    return _r6(_importance(spark, d), "company", "term", "z_label", "role_early", "role_late")
 
 
-@query(_ALL + f" SELECT company, term, z_label, mode_main_role, mode_cause_early, mode_cause_late, n_rows, event_date::VARCHAR AS event_date, early_n_sent, late_n_sent, {_R6} FROM su")
+@query(_ALL + f" SELECT company, term, z_label, mode_role_early, mode_role_late, mode_cause_early, mode_cause_late, n_rows, event_date::VARCHAR AS event_date, time_early::VARCHAR AS time_early, time_late::VARCHAR AS time_late, early_n_sent, late_n_sent, {_R6} FROM su")
 def importance_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = importance.summary(_importance(spark, d)).withColumn("event_date", F.col("event_date").cast("string"))
-    return _r6(s, "company", "term", "z_label", "mode_main_role", "mode_cause_early", "mode_cause_late", "n_rows", "event_date", "early_n_sent", "late_n_sent")
+    s = importance.summary(_importance(spark, d)).withColumns({c: F.col(c).cast("string") for c in ("event_date", "time_early", "time_late")})
+    return _r6(s, "company", "term", "z_label", "mode_role_early", "mode_role_late", "mode_cause_early", "mode_cause_late", "n_rows", "event_date", "time_early", "time_late", "early_n_sent", "late_n_sent")
 
 
 _CLEAN = "event_date IS NOT NULL AND NOT (abs(imp_early) <= 1e-8 AND abs(imp_late) <= 1e-8 AND abs(imp_delta) <= 1e-8)"
@@ -265,6 +275,11 @@ def importance_clean(spark: SparkSession, d: str) -> DataFrame:
     return _r6(importance.clean(importance.summary(_importance(spark, d))), "company", "term", "z_label")
 
 
+@query(_ALL + f" SELECT company, term, z_label, {_R6} FROM su WHERE event_date IS NOT NULL AND imp_early <> 0 AND imp_late <> 0 AND imp_delta <> 0")
+def importance_strict(spark: SparkSession, d: str) -> DataFrame:
+    return _r6(importance.clean(importance.summary(_importance(spark, d)), strict=True), "company", "term", "z_label")
+
+
 @query(_ALL + """, zz AS (SELECT *, abs(imp_delta) AS ad FROM su), sn AS (SELECT *, round((ad - avg(ad) OVER ()) / CASE WHEN coalesce(stddev_samp(ad) OVER (), 0) <= 1e-6 THEN 1 ELSE stddev_samp(ad) OVER () END - (term_score - avg(term_score) OVER ()) / CASE WHEN coalesce(stddev_samp(term_score) OVER (), 0) <= 1e-6 THEN 1 ELSE stddev_samp(term_score) OVER () END, 9) AS sensitivity FROM zz)
 SELECT z_label, company, term, CAST(row_number() OVER (PARTITION BY z_label ORDER BY sensitivity DESC, round(ad, 9) DESC, company, term) AS INT) AS rank FROM sn QUALIFY rank <= 10""")
 def group_topk(spark: SparkSession, d: str) -> DataFrame:

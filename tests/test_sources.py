@@ -20,8 +20,12 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿Sentence Text;Speaker\nHi; CEO\n".encode())
     (tmp_path / "b.csv").write_bytes("text,role\nné,CFO\n".encode("latin-1"))
     (tmp_path / "c.csv").write_bytes(b"x")
-    got, skipped = tabular.read_all(spark, [str(tmp_path / f"{n}.csv") for n in "abc"], ["text", "role"])
-    assert sorted((r.text, r.role.strip()) for r in got.collect())[0] == ("Hi", "CEO") and got.count() == 2 and [p[-5:] for p in skipped] == ["c.csv"]
+    (tmp_path / "d.csv").write_bytes('text|role|x\n"a|b\nc"|IR|1\nshort|row\n你好|分析师|2\n'.encode("gb18030"))
+    paths = [str(tmp_path / f"{n}.csv") for n in "abcd"]
+    got = tabular.read_all(spark, paths, ["text", "role"])
+    assert sorted((r.text, r.role) for r in got.collect()) == [("Hi", "CEO"), ("a|b\nc", "IR"), ("né", "CFO"), ("你好", "分析师")]
+    assert [r.path[-5:] for r in tabular.skipped_files(spark, paths).collect()] == ["c.csv"]
+    assert tabular.read_delimited(spark, paths[3]).columns == ["text", "role", "x"] and tabular.read_delimited(spark, paths[2]) is None
     with pytest.raises(ValueError, match="missing columns: y"):
         tabular.require(spark.range(1), ["y"])
     df = spark.createDataFrame([("1.5", "Yes"), ("x", None)], "a string, b string")
@@ -62,3 +66,17 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     spark.createDataFrame([(3, "Three.")], df.schema).write.mode("append").parquet(src)
     run_available(sentence_stream(spark, src, df.schema), out, state)
     assert sorted((r.doc_id, r.sent_idx, r.sentence) for r in spark.read.parquet(out).collect()) == [(1, 1, "One. "), (1, 2, "Two."), (3, 1, "Three.")]
+
+
+def test_loaders_and_registry(spark, tmp_path):
+    (tmp_path / "a_mij__sentence_ctx.csv").write_text("Company,Speaker,Bucket,Share\nAcme,chief financial officer,q2 legal,0.5\nAcme,ceo,nothing,0.1\n,ceo,legal,0.2\nAcme,IR,macro,x\n")
+    (tmp_path / "bankrupt  all.csv").write_text("CONM;DLDTE\nAcme;3/14/2009\n;2009-01-01\nBell;never\n")
+    (tmp_path / "recurring_terms.csv").write_text("company,term,main_speaker_role,term_score,time_early,is_significant\nAcme,cash,CFO,1.5,2009-01-02,True\nAcme,,CFO,1,,0\n")
+    a = tabular.load_artefact(spark, str(tmp_path), "a_mij")
+    assert sorted((r.role, r.risk_bucket, r.a_mij) for r in a.collect()) == [("CFO", "risk_legal", 0.5), ("IR", "risk_external", 0.0)]
+    e = tabular.load_artefact(spark, str(tmp_path), "events")
+    assert sorted((r.conm, str(r.event_date)) for r in e.collect()) == [("Acme", "2009-03-14"), ("Bell", "None")]
+    t = tabular.load_artefact(spark, str(tmp_path), "terms").collect()
+    assert [(r.term, r.main_role, r.term_score, str(r.time_early), r.time_late, r.is_significant) for r in t] == [("cash", "CFO", 1.5, "2009-01-02", None, True)]
+    with pytest.raises(KeyError):
+        tabular.load_artefact(spark, str(tmp_path), "nothing")
