@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import fixed
 from earshot.operators.skew import salted_lookup, spread_join
+from earshot.session import cut
 
 
 def normal_name(name: Column) -> Column:
@@ -60,6 +61,7 @@ def match_levels(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataF
     two = right.where("sorted_key <> ''").groupBy("sorted_key").agg(F.min("name").alias("matched"))
     by_key = rest.join(two, "sorted_key").select("name", F.lit(2).alias("level"), "matched", F.lit(1.0).alias("score"))
     rest = rest.join(by_key.select("name"), "name", "left_anti").where(F.size("stem_set") > 0).select("name", "stem_set")
+    rest = cut(rest)
     other = right.where(F.size("stem_set") > 0).select("name", "stem_set")
     counts = rest.union(other).select(F.explode("stem_set").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
     near = spread_join(prefixes(other, counts, "matched", least), prefixes(rest, counts, "name", least), "stem", "matched")

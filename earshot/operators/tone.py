@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import first_max
 from earshot.operators.skew import exact_quantile, salted_lookup
+from earshot.session import cut
 
 
 def company_stages(rows: DataFrame, company: str = "company", date: str = "file_date") -> DataFrame:
@@ -28,7 +29,7 @@ def company_stages(rows: DataFrame, company: str = "company", date: str = "file_
 
 def with_stage(rows: DataFrame, company: str = "company", date: str = "file_date") -> DataFrame:
     """Rows with their stage; the lookup is salted, a company may hold a third of all rows."""
-    return salted_lookup(rows, company_stages(rows, company, date), [company, date])
+    return salted_lookup(rows, company_stages(rows, company, date), [company, date], salts=4)
 
 
 def windows(rows: DataFrame, measures: list[str], least: int = 5) -> DataFrame:
@@ -82,6 +83,7 @@ def scores(shift: DataFrame, window: DataFrame, least: int = 5, quantile: float
     per = z_scores(per, ["d_max", "d_med"]).withColumn("term_score", 0.7 * F.col("d_max_z") + 0.3 * F.col("d_med_z"))
     cover = window.groupBy("company", "term").agg(*[F.sum(F.when(F.col("stage") == s, F.col("n_sentences")).otherwise(0)).alias(f"{s}_n_sent") for s in ("early", "late")])
     kept = per.join(cover, ["company", "term"]).where((F.col("early_n_sent") >= least) & (F.col("late_n_sent") >= least))
+    kept = cut(kept)  # one row a company and term; counted several times for the edge
     edge = exact_quantile(kept, "term_score", quantile)
     out = kept.crossJoin(F.broadcast(edge))
     return out.select("company", "term", "d_max", "d_med", "speakers_count", F.col("top.role").alias("main_role"), "top.cause_early", "top.cause_late", "term_score", "early_n_sent", "late_n_sent", (F.col("term_score") >= F.col("edge")).alias("is_significant"))

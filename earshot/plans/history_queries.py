@@ -119,7 +119,8 @@ sco AS (SELECT *, round(term_score, 9) >= round((SELECT quantile_cont(term_score
 
 
 def _staged(spark: SparkSession, d: str) -> DataFrame:
-    return tone.with_stage(terms(spark, d))
+    """Occurrences with their stage: the relation is deduplicated once, written narrow, and read for the dates and for the rows."""
+    return tone.with_stage(cut(terms(spark, d).select("company", "term", "role", "file_date", *TONES)))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +128,8 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    w = cut(_windows(spark, d))  # small, and read twice
-    return tone.scores(tone.shifts(w, TONES, RISKS), w)
+    w = cut(_windows(spark, d))  # read twice
+    return tone.scores(cut(tone.shifts(w, TONES, RISKS)), w)
 
 
 @query(SQL + _STAGE + " SELECT company, file_date::VARCHAR AS file_date, CAST(time_index AS INT) AS time_index, stage FROM st")
@@ -181,7 +182,8 @@ mm AS (SELECT * FROM e UNION ALL SELECT * FROM k UNION ALL SELECT * FROM j)"""
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    return entities.match_levels(entities.named(table(spark, d, "term_occ", "company"), "company"), entities.named(table(spark, d, "bankrupt_all", "conm"), "conm"))
+    # distinct names, read by all three levels
+    return entities.match_levels(cut(entities.named(table(spark, d, "term_occ", "company"), "company")), cut(entities.named(table(spark, d, "bankrupt_all", "conm"), "conm")))
 
 
 @query(f"WITH {_L} SELECT name, norm, key, sorted_key FROM l")
@@ -243,10 +245,10 @@ _R6 = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _IMPS)
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of one key are one company from here on, so its groups hold several rows."""
     types = occurrences(spark, d).where("company is not null and z_label is not null").select("company", "z_label").distinct()
-    staged = cut(_staged(spark, d).select("company", "term", "role", "stage", "file_date", *TONES))  # the one wide relation, written once
+    staged = _staged(spark, d)
     w = cut(tone.windows(staged, TONES))
     at = tone.peak_dates(staged).groupBy("company", "term").agg(*[F.max(F.when(F.col("stage") == s, F.col("peak"))).alias(f"time_{s}") for s in ("early", "late")])
-    scored = tone.scores(tone.shifts(w, TONES, RISKS), w).join(at, ["company", "term"], "left")
+    scored = tone.scores(cut(tone.shifts(w, TONES, RISKS)), w).join(at, ["company", "term"], "left")
     scored = scored.join(types, "company").join(_events(spark, d), "company", "left")
     scored = scored.withColumns({"company_id": F.trim(F.substring_index("company", ",", 1)), "role_early": F.col("main_role"), "role_late": F.col("main_role")})
     return importance.term_importance(scored, units(spark, d), probs(spark, d)).drop("company").withColumnRenamed("company_id", "company")

@@ -154,7 +154,7 @@ def risk_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 def _outcome(spark: SparkSession, d: str) -> models.Outcome:
     """Shares by role and cause and the priors of each company against its majority type."""
-    s = share(spark, d)
+    s = cut(share(spark, d))
     pairs = cubes.pivot_features(s, "company", PAIRS).join(cubes.prior_features(s, fijz(spark, d), "company"), "company")
     y = cubes.majority_label(sentences(spark, d), "company", "z_label").select("company", F.col("z_label").alias("y_true"))
     return models.outcome_model(pairs.join(y, "company"), [*PAIRS, *[f"prior_z{z}" for z in (1, 2, 3)]], "company", "y_true")

@@ -257,3 +257,18 @@ def test_spread_join_equals_the_plain_join(spark):
     for most in (5, 10_000):
         assert sorted((r.x, r.y) for r in skew.spread_join(a, b, "key", "x", most).collect()) == want
     assert skew.spread_join(a.limit(0), b, "key", "x").count() == 0
+
+
+def test_importance_summary_takes_modes_and_outer_peaks(spark):
+    from datetime import date
+
+    from earshot.operators import importance
+
+    row = lambda r, c, te, tl, e, n: ("a", "cash", 2, r, r, c, c, 1.0, e, 0.5, e - 0.5, date(2009, 1, te), date(2010, 1, tl), None if n else date(2011, 1, 1), 5, 6)
+    rows = [row("IR", "risk_legal", 3, 1, 0.0, True), row("CEO", "risk_external", 2, 9, 1.0, False), row("IR", "risk_external", 5, 4, 0.5, False), row(None, None, 7, 7, 0.5, True)]
+    df = spark.createDataFrame(rows, "company string, term string, z_label int, role_early string, role_late string, cause_early string, cause_late string, term_score double, imp_early double, imp_late double, imp_delta double, time_early date, time_late date, event_date date, early_n_sent int, late_n_sent int")
+    s = importance.summary(df)
+    r = s.first()
+    # the mode, not the least: CEO and risk_external come first in the alphabet
+    assert (r.mode_role_early, r.mode_cause_late, r.n_rows, r.time_early, r.time_late, r.early_n_sent, r.imp_early) == ("IR", "risk_external", 4, date(2009, 1, 2), date(2010, 1, 9), 20, 0.5)
+    assert importance.clean(s).count() == 1 and importance.clean(s, strict=True).count() == 0
