@@ -16,6 +16,7 @@ def hit_positions(tokens: Column, phrases: list[str]) -> Column:
     """0-based starts of phrases in a token array, the longest at each start: ``array<struct<i, len>>``.
 
     The dictionary is a short literal list, tested inside the row: no join.
+    ``dictionary_hits`` takes one of any size.
     """
     by_len = sorted({len(p.split()) for p in phrases}, reverse=True)
 
@@ -36,6 +37,22 @@ def longest_phrases(rows: DataFrame, phrases: list[str], keys: list[str], tokens
     return hits.select(*keys, (F.col("h.i") + 1).cast("int").alias("start_idx"), F.array_join(F.slice(F.col(tokens), F.col("h.i") + 1, F.col("h.len")), " ").alias("term"))
 
 
+def dictionary_hits(rows: DataFrame, phrases: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
+    """``keys, start_idx, term``: the longest phrase of a dictionary table (``term``) at each token (1-based), however many phrases it has.
+
+    The n-grams of the sizes that occur in the dictionary meet it in a join,
+    a broadcast one if the dictionary was counted and is small. Repeated
+    phrases count once, null and empty ones not.
+    """
+    listed = phrases.where(F.col("term") != "").select("term").distinct()
+    sizes = sorted(r.n for r in listed.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())
+    at = lambda n: F.transform(ngrams(F.col(tokens), n), lambda g, i: F.struct((i + 1).alias("start_idx"), F.lit(n).alias("n"), g.alias("term")))
+    none = F.array().cast("array<struct<start_idx: int, n: int, term: string>>")
+    grams = rows.select(*keys, F.explode(F.concat(none, *[at(n) for n in sizes])).alias("g")).select(*keys, "g.*")
+    hits = grams.join(_sized(listed), "term", "left_semi")
+    return hits.groupBy(*keys, "start_idx").agg(F.max_by("term", "n").alias("term"))
+
+
 def proximity(rows: DataFrame, risk: list[str], supply: list[str], width: int, keys: list[str], tokens: str = "tokens") -> DataFrame:
     """``keys, token_len, near_count, near_ratio``: supply hits with a risk hit within ``width`` tokens."""
     at = lambda p: F.transform(hit_positions(F.col(tokens), p), lambda h: h["i"])

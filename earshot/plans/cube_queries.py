@@ -48,19 +48,11 @@ def role_canonical(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(spark, d).groupBy("speaker", "role").agg(F.count("*").alias("n"))
 
 
-@query(SQL + """, r AS (SELECT call_id, role, row_number() OVER (PARTITION BY call_id ORDER BY sentence_id) AS idx FROM sent WHERE role <> 'Unknown' AND sentence_id % 3 > 0),
+@query(SQL + """, r AS (SELECT call_id, role, row_number() OVER (PARTITION BY call_id ORDER BY sentence_id) AS idx FROM sent WHERE role <> 'Unknown'),
 s AS (SELECT call_id, sentence_id, row_number() OVER (PARTITION BY call_id ORDER BY sentence_id) AS idx FROM sent)
 SELECT s.call_id, s.sentence_id, CAST(s.idx AS INT) AS idx, coalesce(r.role, 'IR') AS role FROM s LEFT JOIN r ON s.call_id = r.call_id AND s.idx = r.idx""")
 def role_positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    s = sentences(spark, d)
-    # a role list shorter than the sentences, as two splitters make it
-    listed = s.where("role <> 'Unknown' and sentence_id % 3 > 0").select("call_id", "sentence_id", "role")
-    return speakers.positional_zip(s.select("call_id", "sentence_id"), listed, "call_id", "sentence_id", "role")
-
-
-@query()
-def role_positional_zip_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every known role; ``role_positional_zip`` leaves out each third sentence's, as its SQL does."""
+    """The known roles in order: a list shorter than the sentences, as another splitter makes it."""
     s = sentences(spark, d)
     return speakers.positional_zip(s.select("call_id", "sentence_id"), s.where("role <> 'Unknown'").select("call_id", "sentence_id", "role"), "call_id", "sentence_id", "role")
 

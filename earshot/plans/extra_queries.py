@@ -29,14 +29,12 @@ _EXACT = "CASE lower(trim(speaker, ' ')) " + " ".join(f"WHEN '{a}' THEN '{r}'" f
 _LOOSE = "CASE " + " ".join(f"WHEN contains(x, '{a}') THEN '{r}'" for a, r in fixed.ROLE_ALIASES) + " END"
 
 
-@query(rf"SELECT speaker, CASE WHEN coalesce(trim(speaker, ' '), '') = '' THEN 'Unknown' ELSE coalesce({_EXACT}, {_LOOSE}, CASE WHEN trim(speaker, ' ') = 'UNKNOWN' THEN 'Unknown' ELSE trim(speaker, ' ') END) END AS role, count(*) AS n FROM (SELECT speaker, regexp_replace(trim(lower(regexp_replace(coalesce(speaker, ''), '[^A-Za-z\s]', ' ', 'g')), ' '), '\s+', ' ', 'g') AS x FROM term_occ) WHERE speaker IS NULL OR speaker <> 'C.E.O.' GROUP BY ALL")
-def role_normal(spark: SparkSession, d: str) -> DataFrame:
-    return role_normal_all(spark, d).where("speaker is null or speaker <> 'C.E.O.'")
+_EXACT_OTHER = " ".join(f"WHEN '{a}' THEN '{r}'" for a, r in fixed.ROLE_ALIASES_OTHER)
+_TITLED = "array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(trim(speaker, ' '), ' ')], ' ')"
 
 
-@query()
-def role_normal_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every speaker; ``role_normal`` is the part that its SQL can express: it has no title case for "C.E.O."."""
+@query(rf"SELECT speaker, CASE WHEN coalesce(trim(speaker, ' '), '') = '' THEN 'Unknown' ELSE coalesce({_EXACT.replace(' END', f' {_EXACT_OTHER} END')}, {_LOOSE}, {_TITLED}) END AS role, count(*) AS n FROM (SELECT speaker, regexp_replace(trim(lower(regexp_replace(coalesce(speaker, ''), '[^A-Za-z\s]', ' ', 'g')), ' '), '\s+', ' ', 'g') AS x FROM term_occ) GROUP BY ALL")
+def role_normal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "term_occ", "speaker").groupBy("speaker", roles.normal_role(F.col("speaker")).alias("role")).agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.session import ensure_checkpoint_dir
+from earshot.plans.text_queries import METRIC, SENT
 from earshot.sources.tables import table
 from earshot.streaming.sentences import run_available, sentence_stream
 
@@ -27,3 +28,6 @@ def streaming_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["streaming_sentences"] = streaming_sentences
+_TOKENS = METRIC.replace("text", "s[i]")
+# a stream that has read everything holds what the batch holds
+O["streaming_sentences"] = f"SELECT doc_id, CAST(i AS INT) AS sent_idx, s[i] AS sentence, CAST(len({_TOKENS}) AS INT) AS token_len FROM (SELECT doc_id, regexp_extract_all(text, '{SENT}') AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)"

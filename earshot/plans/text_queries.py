@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import fixed
@@ -52,19 +52,18 @@ def english_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "text").select(F.explode(T.english_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(rf"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '(?i)\(operator instructions\)', ' ', 'g'), '\n\s*\n'),
-  lambda p: trim(lower(p), ' ') = '' OR NOT (regexp_matches(trim(lower(p), ' '), '{fixed.HEADER_PATTERN}') OR regexp_full_match(trim(lower(p), ' '), '\d{{2}}:\d{{2}}:\d{{2}}')
-    OR (length(regexp_replace(p, '^\s+|\s+$', '', 'g')) <= 60 AND upper(p) = p AND lower(p) <> p))), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7f]*')""")
-def header_paragraph_filter(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = F.col("text").rlike(r"^[\x00-\x7f]*$")  # letter case of other scripts differs between the engines
-    return header_paragraph_filter_all(spark, d, ascii_only)
+# the classes that (?U) stands for, spelled out
+_WS, _W = r"[\s\x0b\x{85}\p{Z}]", r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}"
+_UPPER = r"\p{Lu}\x{2160}-\x{216f}\x{24b6}-\x{24cf}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+_LOWER = r"\p{Ll}\p{Lt}\x{aa}\x{ba}\x{2b0}-\x{2b8}\x{2c0}-\x{2c1}\x{2e0}-\x{2e4}\x{345}\x{37a}\x{1d2c}-\x{1d6a}\x{1d78}\x{1d9b}-\x{1dbf}\x{2071}\x{207f}\x{2090}-\x{209c}\x{2170}-\x{217f}\x{24d0}-\x{24e9}\x{2c7c}-\x{2c7d}"
+_HEADER = f"(^|[^{_W}])(" + fixed.HEADER_PATTERN.replace(r"\b", "").replace(r"\s", _WS) + f")($|[^{_W}])"
 
 
-@query()
-def header_paragraph_filter_all(spark: SparkSession, d: str, which: Column | None = None) -> DataFrame:
-    """Every text of every script; ``header_paragraph_filter`` is the part that its SQL can express."""
-    which = F.col("text").isNotNull() if which is None else which
-    return table(spark, d, "documents", "doc_id", "text").where(which).select("doc_id", T.drop_headers(F.col("text")).alias("text"))
+@query(rf"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '(?i)\(operator instructions\)', ' ', 'g'), '\n{_WS}*\n'),
+  lambda p: regexp_replace(p, '^\p{{Z}}+|\p{{Z}}+$', '', 'g') = '' OR NOT (regexp_matches(lower(p), '{_HEADER}') OR regexp_full_match(regexp_replace(p, '^\p{{Z}}+|\p{{Z}}+$', '', 'g'), '\p{{Nd}}{{2}}:\p{{Nd}}{{2}}:\p{{Nd}}{{2}}')
+    OR (length(regexp_replace(p, '^{_WS}+|{_WS}+$', '', 'g')) <= 60 AND regexp_matches(p, '[{_UPPER}]') AND NOT regexp_matches(p, '[{_LOWER}]')))), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL""")
+def header_paragraph_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.drop_headers(F.col("text")).alias("text"))
 
 
 _SPACE = T.SPACE.replace("\\x{85}", chr(0x85))
@@ -109,12 +108,12 @@ def content_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- lexicons: a wide table of flags by term stands in for the dictionary file
-_FLAGS = SQL + ", wide AS (SELECT term, CAST(avg(sentiment_score) < 0 AS INT) AS negative, CAST(avg(uncertainty_score) > 0.1 AS INT) AS uncertainty, CAST(avg(prob_risk_legal) > 0.3 AS INT) AS litigious, CAST(avg(prob_risk_constraint) > 0.3 AS INT) AS constraining FROM terms WHERE regexp_full_match(term, '[a-z]+') GROUP BY term)"
+_FLAGS = SQL + ", wide AS (SELECT term, CAST(avg(sentiment_score) < 0 AS INT) AS negative, CAST(avg(uncertainty_score) > 0.1 AS INT) AS uncertainty, CAST(avg(prob_risk_legal) > 0.3 AS INT) AS litigious, CAST(avg(prob_risk_constraint) > 0.3 AS INT) AS constraining FROM terms GROUP BY term)"
 _BUCKETS = ["negative", "uncertainty", "litigious", "constraining"]
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    t = terms(spark, d).where(F.col("term").rlike("^[a-z]+$")).groupBy("term")
+    t = terms(spark, d).groupBy("term")
     flag = lambda c: c.cast("int")
     return t.agg(
         flag(F.avg("sentiment_score") < 0).alias("negative"), flag(F.avg("uncertainty_score") > 0.1).alias("uncertainty"), flag(F.avg("prob_risk_legal") > 0.3).alias("litigious"), flag(F.avg("prob_risk_constraint") > 0.3).alias("constraining")
@@ -180,6 +179,15 @@ def phrase_match_longest(spark: SparkSession, d: str) -> DataFrame:
     return match.longest_phrases(s, _LEX, ["call_id", "sentence_id"])
 
 
+@query(SQL + f""", tok AS (SELECT call_id, sentence_id, {METRIC.replace('text', 'sentence_text')} AS t FROM sent), w AS (SELECT DISTINCT term FROM terms),
+g AS (SELECT call_id, sentence_id, i, n, array_to_string(t[i:i + n - 1], ' ') AS term FROM tok, (SELECT DISTINCT len(string_split(term, ' ')) AS n FROM w), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i))
+SELECT call_id, sentence_id, CAST(i AS INT) AS start_idx, term FROM g SEMI JOIN w USING (term) QUALIFY row_number() OVER (PARTITION BY call_id, sentence_id, i ORDER BY n DESC) = 1""")
+def phrase_match_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of the table as the dictionary."""
+    s = sentences(spark, d).select("call_id", "sentence_id", T.metric_tokens(F.col("sentence_text")).alias("tokens"))
+    return match.dictionary_hits(s, terms(spark, d).select("term"), ["call_id", "sentence_id"])
+
+
 @query(SQL + f""", tok AS (SELECT call_id, sentence_id, {METRIC.replace('text', 'sentence_text')} AS t FROM sent),
 h AS (SELECT call_id, sentence_id, (SELECT list(i) FROM ({_HITS.format(sql_list(_LEX))})) AS risk, (SELECT list(i) FROM ({_HITS.format(sql_list(_SUPPLY))})) AS supply, len(t) AS n FROM tok)
 SELECT call_id, sentence_id, CAST(n AS INT) AS token_len, CAST(coalesce(len(list_filter(supply, lambda s: len(list_filter(risk, lambda r: abs(r - s) <= 10)) > 0)), 0) AS INT) AS near_count,
@@ -201,17 +209,16 @@ def lexical_tone(spark: SparkSession, d: str) -> DataFrame:
     return sentences(spark, d).where("sentence_text is not null").select("call_id", "sentence_id", *[F.round(c, 6).alias(n) for n, c in tone.items()])
 
 
-@query(SQL + f", tok AS (SELECT call_id, sentence_id, {TOKENS} AS t FROM sent), g AS (SELECT DISTINCT call_id, sentence_id, array_to_string(t[i:i + n - 1], ' ') AS term FROM tok, (SELECT unnest([1, 2, 3]) AS n), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)), l AS (SELECT DISTINCT term FROM terms WHERE regexp_full_match(term, '[a-z]+( [a-z]+){{0,2}}')), r AS (SELECT DISTINCT term FROM terms WHERE regexp_full_match(term, '[a-z]+-[a-z]+')) "
-       "SELECT term, count(*) AS n, count(DISTINCT call_id) AS n_calls FROM (SELECT * FROM g SEMI JOIN l USING (term) UNION ALL SELECT call_id, sentence_id, r.term FROM sent, r WHERE regexp_matches(lower(sentence_text), '(^|[^a-z])' || r.term || '([^a-z]|$)')) GROUP BY term")
-def term_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    t = terms(spark, d).select("term").distinct()
-    found = match.term_occurrences(sentences(spark, d), t.where(F.col("term").rlike("^[a-z]+( [a-z]+){0,2}$")), t.where(F.col("term").rlike("^[a-z]+-[a-z]+$")), ["call_id", "sentence_id"], "sentence_text")
-    return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("call_id").alias("n_calls"))
+_CLASS = r"\p{L}\p{M}\p{N}_"
+_EDGE = f"""CASE WHEN regexp_matches(term, '^[a-z]') THEN '(^|[^a-z])' WHEN regexp_matches(term, '^[{_CLASS}]') THEN '(^|[^{_CLASS}])' ELSE '' END || regexp_escape(term) || CASE WHEN regexp_matches(term, '[a-z]$') THEN '($|[^a-z])' WHEN regexp_matches(term, '[{_CLASS}]$') THEN '($|[^{_CLASS}])' ELSE '' END"""
 
 
-@query()
-def term_occurrences_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every term of any signs and length; ``term_occurrences`` is the part that its SQL looks for."""
+@query(SQL + f""", tok AS (SELECT call_id, sentence_id, {TOKENS} AS t FROM sent), w AS (SELECT DISTINCT term FROM terms), l AS (SELECT term FROM w WHERE regexp_full_match(term, '[a-z]+( [a-z]+)*')),
+g AS (SELECT DISTINCT call_id, sentence_id, array_to_string(t[i:i + n - 1], ' ') AS term FROM tok, (SELECT DISTINCT len(string_split(term, ' ')) AS n FROM l), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)),
+o AS (SELECT term, {_EDGE} AS whole FROM w WHERE NOT regexp_full_match(term, '[a-z]+( [a-z]+)*')), low AS (SELECT call_id, sentence_id, lower(sentence_text) AS s FROM sent)
+SELECT term, count(*) AS n, count(DISTINCT call_id) AS n_calls FROM (SELECT * FROM g SEMI JOIN l USING (term) UNION ALL SELECT call_id, sentence_id, term FROM low JOIN o ON contains(low.s, o.term) WHERE regexp_matches(s, whole)) GROUP BY term""")
+def term_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Every term, of any signs and length."""
     t, plain = terms(spark, d).select("term").distinct(), F.col("term").rlike("^[a-z]+( [a-z]+)*$")
     found = match.term_occurrences(sentences(spark, d), t.where(plain), t.where(~plain), ["call_id", "sentence_id"], "sentence_text")
     return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("call_id").alias("n_calls"))
@@ -222,10 +229,13 @@ def lexicon_membership(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.membership(terms(spark, d).select("term").distinct(), lexicon.unpivot_flags(_wide(spark, d), _BUCKETS, "lm_", "lm_general"))
 
 
-@query(r"SELECT doc_id, coalesce(try_strptime(nullif(regexp_extract(file_date::VARCHAR, '(\d{4}-\d{2}-\d{2})', 1), ''), '%Y-%m-%d')::DATE)::VARCHAR AS parsed, CASE WHEN contains(coalesce(text, ''), 'Earnings Call') THEN nullif(regexp_extract(text, '\b(Q[1-4]\s+\d{4})\b', 1), '') END AS quarter FROM documents WHERE file_date IS NOT NULL")
+@query(r"SELECT doc_id, file_date::VARCHAR AS parsed, CASE WHEN contains(coalesce(text, ''), 'Earnings Call') THEN nullif(regexp_extract(text, '\b(Q[1-4]\s+\d{4})\b', 1), '') END AS quarter FROM documents WHERE file_date IS NOT NULL")
 def document_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates written in four forms by turns and read back."""
     q = F.when(F.contains(F.coalesce("text", F.lit("")), F.lit("Earnings Call")), F.nullif(F.regexp_extract("text", r"\b(Q[1-4]\s+\d{4})\b", 1), F.lit("")))
-    return table(spark, d, "documents", "doc_id", "text", "file_date").where("file_date is not null").select("doc_id", T.parse_date(F.col("file_date").cast("string")).cast("string").alias("parsed"), q.alias("quarter"))
+    forms = F.array(*[F.date_format("file_date", f) for f in ("'Call of 'yyyy-MM-dd", "'call_'yyyyMMdd", "d-MMM-yyyy", "M/d/yyyy' 10:00'")])
+    written = F.get(forms, F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int"))
+    return table(spark, d, "documents", "doc_id", "text", "file_date").where("file_date is not null").select("doc_id", T.parse_date(written).cast("string").alias("parsed"), q.alias("quarter"))
 
 
 @query(SQL + ", k AS (SELECT DISTINCT company || '_' || strftime(file_date, '%Y-%m-%d') || '_' || quarter_label AS doc_id FROM occ WHERE company IS NOT NULL) SELECT doc_id, regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 1) AS company, trim(split_part(split_part(doc_id, '_', 1), ',', 1)) AS company_id, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 2), '') AS DATE)::VARCHAR AS file_date, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 3), '') AS INT) AS quarter, try_cast(nullif(regexp_extract(doc_id, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_Q(\\d)\\s*(\\d{4})$', 4), '') AS INT) AS fiscal_year FROM k WHERE doc_id IS NOT NULL".replace("\\\\", "\\"))

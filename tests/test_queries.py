@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, name):
     compare(spark, plans.queries()[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", ["short_sentence_merge", "abbrev_sentence_split", "role_rebalance", "speaker_name_match", "participants_header", "streaming_sentences"])
+@pytest.mark.parametrize("name", ["role_rebalance", "speaker_name_match", "participants_header", "transcript_roles", "risk_classifier", "outcome_report", "surrogate_logit", "fitted_prob_contrib"])
 def test_query_runs(spark, name):
     connect()
     assert plans.queries()[name](spark, FOLDER).count() > 0
@@ -20,7 +20,7 @@ def test_query_runs(spark, name):
 
 def test_every_speaker_has_a_role(spark, tmp_path):
     spark.createDataFrame([("C.E.O.",), ("C.E.O.",), ("cfo",), (None,)], "speaker string").write.parquet(f"{tmp_path}/term_occ.parquet")
-    got = {(r.speaker, r.role): r.n for r in plans.queries()["role_normal_all"](spark, str(tmp_path)).collect()}
+    got = {(r.speaker, r.role): r.n for r in plans.queries()["role_normal"](spark, str(tmp_path)).collect()}
     assert got == {("C.E.O.", "C.e.o."): 2, ("cfo", "CFO"): 1, (None, "Unknown"): 1}
 
 
@@ -37,7 +37,7 @@ def test_names_of_labels_in_every_style(spark, tmp_path):
 def test_every_known_role_is_zipped(spark):
     connect()
     s = sentences(spark, FOLDER).select("call_id", "role", "sentence_id").toPandas().sort_values(["call_id", "sentence_id"])
-    got = {(r.call_id, r.sentence_id): r.role for r in plans.queries()["role_positional_zip_all"](spark, FOLDER).collect()}
+    got = {(r.call_id, r.sentence_id): r.role for r in plans.queries()["role_positional_zip"](spark, FOLDER).collect()}
     want = {}
     for call, rows in s.groupby("call_id"):
         known = [r for r in rows.role if r != "Unknown"]
