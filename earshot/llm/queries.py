@@ -97,6 +97,19 @@ WITH l AS (SELECT DISTINCT company, call_id, sentence_id, regexp_replace(lower(s
            FROM term_occ WHERE company IS NOT NULL AND call_id IS NOT NULL),
      s AS (SELECT company, count(DISTINCT call_id) AS n FROM l GROUP BY company),
      f AS (SELECT l.company, l.k FROM l JOIN s USING (company) WHERE k <> '' GROUP BY l.company, l.k, s.n
-           HAVING count(DISTINCT call_id) >= 4 AND count(DISTINCT call_id) >= 0.25 * s.n)
-SELECT DISTINCT l.call_id, l.sentence_id FROM l JOIN f USING (company, k)"""
-    return {"p3_found": lines}
+           HAVING count(DISTINCT call_id) >= 4 AND count(DISTINCT call_id) >= 0.25 * s.n),
+     gone AS (SELECT DISTINCT l.call_id, l.sentence_id FROM l JOIN f USING (company, k))"""
+    cleaned = """,
+     one AS (SELECT call_id, sentence_id, min(sentence_text) AS t FROM term_occ WHERE call_id IS NOT NULL GROUP BY call_id, sentence_id)
+SELECT o.call_id, count(*) AS n_lines, count(g.call_id) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY o.sentence_id) FILTER (g.call_id IS NULL), '') AS text
+FROM one o LEFT JOIN gone g ON o.call_id = g.call_id AND o.sentence_id = g.sentence_id GROUP BY o.call_id"""
+    groups = r"""
+WITH RECURSIVE raw AS (SELECT rec_no, company_id, issuer_no FROM labels_y UNION ALL SELECT rec_no, company_id, issuer_no FROM preds_val_ens),
+     r AS (SELECT rec_no, nullif(regexp_replace(lower(split_part(company_id, ',', 1)), '[^\p{L}\p{N}]+', '', 'g'), '') AS c, regexp_replace(regexp_extract(issuer_no, '\d+'), '^0+', '') AS i FROM raw WHERE rec_no IS NOT NULL),
+     k AS (SELECT DISTINCT rec_no, 'c' || c AS key FROM r WHERE c IS NOT NULL UNION SELECT rec_no, 'i' || i FROM r WHERE i <> '' AND NOT regexp_full_match(i, '9+')),
+     e AS (SELECT DISTINCT a.rec_no AS u, b.rec_no AS v FROM k a JOIN (SELECT key, min(rec_no) AS rec_no FROM k GROUP BY key) b USING (key)),
+     both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+     walk AS (SELECT DISTINCT u, u AS m FROM both_ways UNION SELECT b.v, w.m FROM walk w JOIN both_ways b ON b.u = w.u),
+     g AS (SELECT u AS rec_no, min(m) AS group_no FROM walk GROUP BY u)
+SELECT rec_no, group_no FROM g WHERE group_no IN (SELECT group_no FROM g GROUP BY group_no HAVING count(*) > 1)"""
+    return {"p1_found": groups, "p3_found": lines + " SELECT call_id, sentence_id FROM gone", "p3_cleaned": lines + cleaned}
