@@ -86,6 +86,23 @@ def curve(scores: DataFrame) -> DataFrame:
     return _cumulated(scores).select("z", F.col("p").alias("threshold"), F.try_divide(seen, "pos_all").alias("tpr"), F.try_divide(false, "neg_all").alias("fpr"), (seen / (seen + false)).alias("precision"))
 
 
+def shown_class(preds: DataFrame) -> Column:
+    """The class that a figure shows: by thresholds, else as predicted, else the nominal one, whichever the table has, else the largest probability."""
+    have = [F.col(c).cast("int") for c in ("y_pred_thresh", "y_pred", "y_pred_nominal") if c in preds.columns]
+    return have[0] if have else argmax_class([F.col(f"prob_z{z}") for z in CLASSES])
+
+
+def summary(preds: DataFrame, label: str = "y_true") -> DataFrame:
+    """All figures of three-class predictions in one row: accuracy and macro-F1 of the shown class, recall, average precision, AUC and Brier score of each class with their means."""
+    matrix = confusion(preds.withColumn("__shown", shown_class(preds)), label, "__shown")
+    out = report(matrix)
+    scores = by_class(preds, label)
+    for name, rows in (("recall", class_report(matrix).select("z", F.col("recall").alias("v"))), ("ap", average_precision(scores).select("z", F.col("ap").alias("v"))), ("auc", auc(scores).select("z", F.col("auc").alias("v"))), ("brier", brier(scores).select("z", F.col("brier").alias("v")))):
+        # one row of each, joined by broadcast
+        out = out.crossJoin(F.broadcast(rows.agg(*[F.max(F.when(F.col("z") == z, F.col("v"))).alias(f"{name}_z{z}") for z in CLASSES], F.avg("v").alias(f"macro_{name}"))))
+    return out
+
+
 def brier(scores: DataFrame) -> DataFrame:
     """``z, brier``."""
     return scores.groupBy("z").agg(F.avg(F.pow(F.col("p") - F.col("hit"), F.lit(2))).alias("brier"))

@@ -206,25 +206,27 @@ def participants(text: Column) -> Column:
     return F.transform(F.array(listed), lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["name"] == p["name"])))[0]
 
 
-def _name_role(name: str, roster: dict[str, str]) -> str | None:
-    """Role of a name: as listed, else of the closest listed name, else Analyst for a broker."""
+def _name_role(name: str, roster: dict[str, str], brokers: bool = True) -> str | None:
+    """Role of a name: as listed, else of the closest listed name, else Analyst for one with a broker in it."""
     key = name.lower().strip()
     if key in roster:
         return roster[key]
     near = difflib.get_close_matches(key, list(roster), n=1, cutoff=0.75) if roster else []
     if near:
         return roster[near[0]]
-    return "Analyst" if any(b.lower() in key for b in fixed.BROKERS) else None
+    return "Analyst" if brokers and any(b.lower() in key for b in fixed.BROKERS) else None
 
 
-def transcript_roles(documents: DataFrame, key: str, text: str) -> DataFrame:
+def transcript_roles(documents: DataFrame, key: str, text: str, start: str = "IR", miss: str | None = None, brokers: bool = True) -> DataFrame:
     """``key, part_no, role, part``: the parts of each transcript with the role that speaks.
 
     Lines that switch the speaker, rulings and headings are no text. A part
     ends where the speaker switches, at a ruling, and at a line that ends a
-    sentence once the part holds 200 characters. Roles start as IR; a switch
-    line gives the role of its name, else that of its title; a line that
-    begins with "Q:" or "Operator:" switches too. Null texts give no part.
+    sentence once the part holds 200 characters. Roles start as ``start``; a
+    switch line gives the role of its name, else that of its title, else
+    ``miss`` (None: the role stays); a line that begins with "Q:" or
+    "Operator:" switches too. Null texts give no part. The older way of
+    reading (R15) is ``start="Unknown", miss="Unknown", brokers=False``.
     """
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"), _squeeze), lambda p: p != "")
     rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias(key), lines.alias("lines"), F.transform(participants(F.col(text)), lambda p: p).alias("who"))
@@ -235,7 +237,7 @@ def transcript_roles(documents: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             at, parts = [], []
             for n, (who, lines) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = list(_parts({p["name"]: p["role"] for p in who or []}, lines))
+                found = list(_parts({p["name"]: p["role"] for p in who or []}, lines, start, miss, brokers))
                 at += [n] * len(found)
                 parts += [(k, *p) for k, p in enumerate(found)]
             columns = [pa.array([p[j] for p in parts], t) for j, t in enumerate((pa.int32(), pa.string(), pa.string()))]
@@ -244,8 +246,8 @@ def transcript_roles(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _parts(roster: dict[str, str], lines: list[dict]) -> Iterator[tuple[str, str]]:
-    role, held, size = "IR", [], 0
+def _parts(roster: dict[str, str], lines: list[dict], start: str, miss: str | None, brokers: bool) -> Iterator[tuple[str, str]]:
+    role, held, size = start, [], 0
     for x in lines:
         line, switch = x["line"], x["s"]
         if any(re.match(p, line) for p in fixed.HEADING_LINES):
@@ -253,7 +255,7 @@ def _parts(roster: dict[str, str], lines: list[dict]) -> Iterator[tuple[str, str
         new = role
         ends = bool(re.match(r"^[-=]{3,}$", line))
         if not ends and switch is not None and (switch["name"] is not None or switch["role"] is not None):
-            ends, new = True, (switch["name"] is not None and _name_role(switch["name"], roster)) or switch["role"] or role
+            ends, new = True, (switch["name"] is not None and _name_role(switch["name"], roster, brokers)) or switch["role"] or miss or role
         elif not ends and (m := re.match(fixed.SWITCH_PREFIX, line)):
             ends, new = True, "Operator" if m[1].lower() == "operator" else "Analyst"
         if not ends:
@@ -263,7 +265,7 @@ def _parts(roster: dict[str, str], lines: list[dict]) -> Iterator[tuple[str, str
         if ends and held:
             yield role, " ".join(held)
             held, size = [], 0
-        role = new if new in fixed.ROLES else role
+        role = new if new in fixed.ROLES or new == miss else role
     if held:
         yield role, " ".join(held)
 

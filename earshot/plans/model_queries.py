@@ -79,6 +79,18 @@ def roc_pr_points(spark: SparkSession, d: str) -> DataFrame:
     return metrics.curve(_scores(spark, d)).select("z", "threshold", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "precision")])
 
 
+_ROW = lambda name, source, digits=9: ", ".join(f"round(max({name}) FILTER (z = {z}), {digits}) AS {name}_z{z}" for z in (1, 2, 3)) + f", round(avg({name}), {digits}) AS macro_{name} FROM {source}"
+
+
+@query(f"""WITH RECURSIVE {_REPORT}, {_CUM}, rc AS (SELECT z, coalesce(tp / nullif(support, 0), 0) AS recall FROM k), br AS (SELECT z, avg(pow(p - hit, 2)) AS brier FROM long GROUP BY z),
+au AS (SELECT z, sum(neg * (pos_above + pos / 2)) / (max(pos_all) * max(neg_all)) AS auc FROM cum GROUP BY z), pr AS (SELECT z, sum(pos / pos_all * (pos_above + pos) / (pos_above + pos + neg_above + neg)) AS ap FROM cum GROUP BY z),
+re AS (SELECT (SELECT sum(n)::BIGINT FROM m) AS n, round((SELECT sum(n) FROM m WHERE y_true = y_pred) / (SELECT sum(n) FROM m), 9) AS accuracy, round(avg(coalesce(2 * tp / nullif(support + predicted, 0), 0)), 9) AS macro_f1 FROM k)
+SELECT * FROM re, (SELECT {_ROW('recall', 'rc')}), (SELECT {_ROW('ap', 'pr')}), (SELECT {_ROW('auc', 'au')}), (SELECT {_ROW('brier', 'br')})""")
+def metrics_row(spark: SparkSession, d: str) -> DataFrame:
+    r = metrics.summary(_preds(spark, d))
+    return r.select("n", *[F.round(c, 9).alias(c) for c in r.columns if c != "n"])
+
+
 _TOP = "CASE WHEN prob_z1 >= prob_z2 AND prob_z1 >= prob_z3 THEN 1 WHEN prob_z2 >= prob_z3 THEN 2 ELSE 3 END"
 
 

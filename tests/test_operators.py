@@ -188,6 +188,9 @@ Fine.
     assert parts[-5:] == [("CEO", "We won."), ("CEO", "We won again."), ("Analyst", "How so?"), ("Analyst", "Fine.")][-5:] or parts[-4:] == [("CEO", "We won."), ("CEO", "We won again."), ("Analyst", "How so?"), ("Analyst", "Fine.")]
     assert ("Operator", "Welcome to the call.") in parts
     assert speakers.transcript_roles(df.where("id = 2"), "id", "text").count() == 0
+    old = spark.createDataFrame([(1, "Before.\nStranger Here:\nHello.\nUBS Person:\nOne.\nOperator\nNext.")], "id int, text string")
+    roles = lambda **kw: [r.role for r in speakers.transcript_roles(old, "id", "text", **kw).orderBy("part_no").collect()]
+    assert roles() == ["IR", "IR", "Analyst", "Operator"] and roles(start="Unknown", miss="Unknown", brokers=False) == ["Unknown", "Unknown", "Unknown", "Operator"]
 
 
 def test_quantiles_and_quartiles_with_hot_values(spark):
