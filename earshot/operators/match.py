@@ -93,22 +93,33 @@ def _whole(term: Column) -> Column:
     return F.concat(left, F.regexp_replace(term, r"([^a-z0-9 ])", r"\\$1"), right)
 
 
+def _begun(rows: DataFrame, keep: list[str], runs: Column, listed: DataFrame, most: int) -> DataFrame:
+    """``keep`` and the columns of ``listed`` (``first, w``) for each place of ``runs`` from which the runs of ``w`` follow.
+
+    One row a run goes to the join, not one an n-gram: a run meets the entries
+    that begin with it, and the runs behind it decide.
+    """
+    placed = rows.withColumn("__runs", runs).select(*keep, F.explode(F.array_distinct(F.transform("__runs", lambda r, i: F.struct(r.alias("first"), F.concat(F.array_join(F.slice("__runs", i + 1, F.lit(most)), " "), F.lit(" ")).alias("tail"))))).alias("__p"))
+    placed = placed.select(*keep, F.col("__p.first").alias("first"), F.col("__p.tail").alias("__tail"))
+    return placed.join(_sized(listed), "first").where(F.startswith("__tail", F.concat("w", F.lit(" ")))).drop("__tail", "first")
+
+
 def term_occurrences(rows: DataFrame, grams: DataFrame, others: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, term``: sentences that hold each term, once a sentence.
 
-    Terms of plain words, however many, are looked up among the n-grams of the
-    sentence; terms with other signs are cut at those signs and looked up by
-    all their runs in a row before the whole is tested, so no pair of sentence
-    and term is formed without the words of the term.
+    Terms of plain words, however many, are looked up by their first word;
+    terms with other signs are cut at those signs and looked up by their first
+    run, all their runs having to follow before the whole is tested, so no pair
+    of sentence and term is formed without the words of the term.
     """
-    tokens = rows.select(*keys, F.lower(text).alias("low"), letter_tokens(F.col(text)).alias("t"))
-    words = sorted(r.n for r in grams.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()) or [1]
-    every = F.array_distinct(F.concat(*[ngrams(F.col("t"), n) for n in words]))
-    plain = tokens.select(*keys, F.explode(every).alias("term")).join(_sized(grams), "term", "left_semi").select(*keys, "term")
+    tokens = rows.select(*keys, F.lower(text).alias("low"))
+    plain = grams.select(F.split_part("term", F.lit(" "), F.lit(1)).alias("first"), F.col("term").alias("w"))
+    most = plain.agg(F.max(F.size(F.split("w", " ")))).first()[0]
+    found = _begun(tokens, keys, F.regexp_extract_all("low", F.lit(CUTS["latin"]), F.lit(0)), plain, most or 1).select(*keys, F.col("w").alias("term"))
     kind = F.when(F.regexp_like("term", F.lit(CUTS["latin"])), "latin").when(F.regexp_like("term", F.lit(CUTS["script"])), "script").otherwise("sign")
     runs = F.coalesce(*[F.when(kind == k, F.regexp_extract_all("term", F.lit(p), F.lit(0))) for k, p in CUTS.items()])
-    cut = others.select("term", kind.alias("kind"), F.size(runs).alias("n"), F.concat_ws(" ", runs).alias("w"), _whole(F.col("term")).alias("whole"))
-    sizes = sorted((r.kind, r.n) for r in cut.select("kind", "n").distinct().collect())
-    pieces = [ngrams(F.regexp_extract_all("low", F.lit(CUTS[k]), F.lit(0)), n) for k, n in sizes] or [F.array().cast("array<string>")]
-    held = tokens.select(*keys, "low", F.explode(F.array_distinct(F.concat(*pieces))).alias("w")).join(_sized(cut.select("w", "term", "whole")), "w")
-    return plain.unionByName(held.where(F.regexp_like("low", F.col("whole"))).select(*keys, "term"))
+    cut = others.select("term", kind.alias("kind"), F.size(runs).alias("n"), F.get(runs, 0).alias("first"), F.concat_ws(" ", runs).alias("w"), _whole(F.col("term")).alias("whole"))
+    for k, n in sorted((r.kind, r.n) for r in cut.groupBy("kind").agg(F.max("n").alias("n")).collect()):
+        held = _begun(tokens, [*keys, "low"], F.regexp_extract_all("low", F.lit(CUTS[k]), F.lit(0)), cut.where(F.col("kind") == k).select("first", "w", "term", "whole"), n)
+        found = found.union(held.where(F.regexp_like("low", F.col("whole"))).select(*keys, "term"))
+    return found.distinct()  # a term may stand at several places

@@ -9,6 +9,7 @@ from earshot.functions import fixed
 from earshot.functions import text as T
 from earshot.operators import lexicon, match
 from earshot.plans.base import SQL, occurrences, sentences, sql_list, terms
+from earshot.session import cut
 from earshot.sources.tables import table
 
 Q, O = {}, {}
@@ -185,7 +186,7 @@ SELECT call_id, sentence_id, CAST(i AS INT) AS start_idx, term FROM g SEMI JOIN
 def phrase_match_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Every term of the table as the dictionary."""
     s = sentences(spark, d).select("call_id", "sentence_id", T.metric_tokens(F.col("sentence_text")).alias("tokens"))
-    return match.dictionary_hits(s, terms(spark, d).select("term"), ["call_id", "sentence_id"])
+    return match.dictionary_hits(s, cut(terms(spark, d).select("term").distinct()), ["call_id", "sentence_id"])
 
 
 @query(SQL + f""", tok AS (SELECT call_id, sentence_id, {METRIC.replace('text', 'sentence_text')} AS t FROM sent),
@@ -219,8 +220,9 @@ o AS (SELECT term, {_EDGE} AS whole FROM w WHERE NOT regexp_full_match(term, '[a
 SELECT term, count(*) AS n, count(DISTINCT call_id) AS n_calls FROM (SELECT * FROM g SEMI JOIN l USING (term) UNION ALL SELECT call_id, sentence_id, term FROM low JOIN o ON contains(low.s, o.term) WHERE regexp_matches(s, whole)) GROUP BY term""")
 def term_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Every term, of any signs and length."""
-    t, plain = terms(spark, d).select("term").distinct(), F.col("term").rlike("^[a-z]+( [a-z]+)*$")
-    found = match.term_occurrences(sentences(spark, d), t.where(plain), t.where(~plain), ["call_id", "sentence_id"], "sentence_text")
+    t, plain = cut(terms(spark, d).select("term").distinct()), F.col("term").rlike("^[a-z]+( [a-z]+)*$")
+    s = cut(sentences(spark, d).select("call_id", "sentence_id", "sentence_text"))  # read once for each kind of term
+    found = match.term_occurrences(s, t.where(plain), t.where(~plain), ["call_id", "sentence_id"], "sentence_text")
     return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("call_id").alias("n_calls"))
 
 
