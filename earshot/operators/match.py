@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import fixed
 from earshot.functions.text import contains_any, letter_tokens, ngrams, words_in
+from earshot.operators.skew import salted_lookup
 
 #: Terms up to which a dictionary is broadcast; a larger one is joined by shuffle.
 BROADCAST_TERMS = 100_000
@@ -49,7 +50,7 @@ def dictionary_hits(rows: DataFrame, phrases: DataFrame, keys: list[str], tokens
     at = lambda n: F.transform(ngrams(F.col(tokens), n), lambda g, i: F.struct((i + 1).alias("start_idx"), F.lit(n).alias("n"), g.alias("term")))
     none = F.array().cast("array<struct<start_idx: int, n: int, term: string>>")
     grams = rows.select(*keys, F.explode(F.concat(none, *[at(n) for n in sizes])).alias("g")).select(*keys, "g.*")
-    hits = grams.join(_sized(listed), "term", "left_semi")
+    hits = _looked_up(grams, listed, "term")
     return hits.groupBy(*keys, "start_idx").agg(F.max_by("term", "n").alias("term"))
 
 
@@ -75,9 +76,10 @@ def lexical_tone(text: Column) -> dict[str, Column]:
     }
 
 
-def _sized(terms: DataFrame) -> DataFrame:
-    """Broadcast only a dictionary that was counted and is small."""
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+def _looked_up(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Rows with the entries of their key: a dictionary that was counted and is small is broadcast, a larger one joined with salts, since a word may be hot."""
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return rows.join(F.broadcast(terms), key) if small else salted_lookup(rows, terms, [key])
 
 
 #: Signs of a word in any script.
@@ -101,7 +103,7 @@ def _begun(rows: DataFrame, keep: list[str], runs: Column, listed: DataFrame, mo
     """
     placed = rows.withColumn("__runs", runs).select(*keep, F.explode(F.array_distinct(F.transform("__runs", lambda r, i: F.struct(r.alias("first"), F.concat(F.array_join(F.slice("__runs", i + 1, F.lit(most)), " "), F.lit(" ")).alias("tail"))))).alias("__p"))
     placed = placed.select(*keep, F.col("__p.first").alias("first"), F.col("__p.tail").alias("__tail"))
-    return placed.join(_sized(listed), "first").where(F.startswith("__tail", F.concat("w", F.lit(" ")))).drop("__tail", "first")
+    return _looked_up(placed, listed, "first").where(F.startswith("__tail", F.concat("w", F.lit(" ")))).drop("__tail", "first")
 
 
 def term_occurrences(rows: DataFrame, grams: DataFrame, others: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from earshot.functions import fixed, roles
 from earshot.functions import text as T
-from earshot.operators import common, cubes
-from earshot.plans.base import RISKS, SQL, occurrences, sentences, terms
+from earshot.operators import common
+from earshot.plans.base import RISKS, SQL, sentences, terms
 from earshot.sources.tables import table
 from earshot.sources.transcripts import best_variant, quality
 

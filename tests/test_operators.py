@@ -242,12 +242,14 @@ def test_score_of_one_row_is_defined(spark):
     assert tone.z_scores(one, ["x"]).first().x_z == 0.0
 
 
-def test_terms_of_any_signs(spark):
+def test_terms_of_any_signs(spark, monkeypatch):
     text = [(1, "A one-time refinancing, and net debt to  equity ratio."), (2, "One-time refinancings; 10-K filed. ｄｅｂｔ at 5 %"), (3, "a 110-k note, ｄｅｂｔｓ, the cash\xa0flow of a café loan"), (4, None)]
     df = spark.createDataFrame(text, "i int, s string")
     plain = spark.createDataFrame([("net debt to equity ratio",), ("note",)], "term string")
     others = spark.createDataFrame([("one-time refinancing",), ("10-k",), ("ｄｅｂｔ",), ("%",), ("cash\xa0flow",), ("café loan",)], "term string")
     got = sorted((r.i, r.term) for r in match.term_occurrences(df, plain, others, ["i"], "s").collect())
+    monkeypatch.setattr(match, "BROADCAST_TERMS", 0)  # the way of a large dictionary
+    assert sorted((r.i, r.term) for r in match.term_occurrences(df, plain, others, ["i"], "s").collect()) == got
     assert got == sorted([(1, "net debt to equity ratio"), (1, "one-time refinancing"), (2, "10-k"), (2, "ｄｅｂｔ"), (2, "%"), (3, "note"), (3, "cash\xa0flow"), (3, "café loan")])
 
 
