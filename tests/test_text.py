@@ -82,5 +82,5 @@ def test_headers_of_every_script(spark):
 def test_header_query_has_every_text(spark, tmp_path):
     texts = ["PARTICIPANTS\n\nWe grew.", "PARTICIPANTS\n\nIt’s café time.", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text for r in text_queries.header_paragraph_filter_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in text_queries.header_paragraph_filter(spark, str(tmp_path)).collect()}
     assert got == {0: "We grew.", 1: "It’s café time.", 2: ""}
